@@ -32,3 +32,37 @@ b AS (SELECT *, n_words < {qr.MIN_WORDS} OR n_repeat_words * 100 > n_words * {qr
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT ({rules}) AS kept, n_bangs, n_stop_words, n_lines, n_bullet_lines, n_ellipsis_lines
 FROM b"""
+
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS k, doc_id, text FROM documents),
+lines AS (SELECT r, k, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT r, k, string_split(text, chr(10)) AS x FROM d WHERE length(text) > 0)),
+marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS u0 FROM lines),
+units AS (SELECT r, k, dense_rank() OVER (PARTITION BY r ORDER BY u0) - 1 AS u, string_agg(line, chr(10) ORDER BY i) AS t FROM marked GROUP BY r, k, u0),
+keyed AS (SELECT r, k, u, t, trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS g FROM units),
+trio AS (SELECT r, k, u, g, lead(g) OVER w AS g2, lead(g, 2) OVER w AS g3, lead(u, 2) OVER w AS has FROM keyed WINDOW w AS (PARTITION BY r ORDER BY u)),
+occ AS (SELECT r, k, u, min(k) OVER p AS owner, count(*) OVER p AS n, row_number() OVER (PARTITION BY r, g, g2, g3 ORDER BY u) AS nth
+        FROM trio WHERE has IS NOT NULL WINDOW p AS (PARTITION BY g, g2, g3)),
+cut AS (SELECT DISTINCT r, unnest([u, u + 1, u + 2]) AS u FROM occ WHERE n > 1 AND (k <> owner OR nth > 1)),
+kept AS (SELECT units.r, count(*) AS n_units, count(cut.u) AS n_removed, string_agg(CASE WHEN cut.u IS NULL THEN units.t END, chr(10) ORDER BY units.u) AS t
+         FROM units LEFT JOIN cut ON units.r = cut.r AND units.u = cut.u GROUP BY units.r)
+SELECT d.doc_id, CASE WHEN n_removed > 0 THEN coalesce(t, '') ELSE d.text END AS text, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN kept USING (r)"""
+
+
+def mixing_sql() -> str:
+    """For tables of at most one hash bucket per source, where the order is by size class, size and doc_id."""
+    return f"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w::DOUBLE, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(w) OVER (ORDER BY source_size / w::DOUBLE, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM w),
+c AS (SELECT *, 3 * source_size * rest_w <= (total - before) * w AS capped FROM o),
+f AS (SELECT *, total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS free, sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS free_w FROM c),
+t AS (SELECT source, source_size::BIGINT AS source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (w * free)::DOUBLE / free_w::DOUBLE END AS target,
+        ('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f),
+k AS (SELECT d.doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS r,
+        row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1)), size, d.doc_id NULLS LAST)::DOUBLE AS k
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((floor(k * r + u) - floor((k - 1) * r + u)) * size)::BIGINT AS taken FROM k"""
