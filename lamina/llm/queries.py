@@ -5,24 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import quality_rules
+from lamina.llm import line_dedup, mixing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", "n_units", "n_removed")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bangs", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    counted = mixing.count_copies(docs, keep=["doc_id"])
+    return counted.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op7_quality_rules, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
     from lamina.llm import sql
 
-    return {"op7_quality_rules": sql.quality_rules_sql()}
+    return {"op2_line_dedup": sql.LINE_DEDUP, "op7_quality_rules": sql.quality_rules_sql(), "op8_mixing": sql.mixing_sql()}
