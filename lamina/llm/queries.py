@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import line_dedup, mixing, packing, quality_rules, simhash
+from lamina.llm import langid, line_dedup, mixing, packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = langid.remainder("doc_id", 4)
+    model = langid.fit(docs.where(fold != 2))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op7_quality_rules, op8_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op7_quality_rules, op8_mixing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
