@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import langid, line_dedup, mixing, packing, quality_rules, simhash
+from lamina.llm import langid, line_dedup, mixing, packing, quality_rules, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, held: int) -> DataFrame:
+    """Labelled documents outside the held-out fold, without any other column."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(langid.remainder("doc_id", folds) != held)
+    return docs.join(_table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull()), "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = toxicity.fit(_labelled(spark, sf_dir, "toxic", 5, 0))
+    scored = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon)
+    held_out = F.coalesce(langid.remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matches")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bangs", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
@@ -48,7 +61,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op7_quality_rules, op8_mixing, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op4_toxicity, op7_quality_rules, op8_mixing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
