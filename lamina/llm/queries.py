@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import langid, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, toxicity
+from lamina.llm import html_extract, langid, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bangs", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
@@ -68,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op4_toxicity, op5_quality_mil, op7_quality_rules, op8_mixing, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op4_toxicity, op5_quality_mil, op6_html_extraction, op7_quality_rules, op8_mixing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
