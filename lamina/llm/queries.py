@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import html_extract, langid, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, toxicity
+from lamina.llm import avi, html_extract, langid, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), avi.media_features(avi.media_column(F.col("text"))).alias("f"))
+    return stored.select("doc_id", "n_bytes", "f.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op4_toxicity, op5_quality_mil, op6_html_extraction, op7_quality_rules, op8_mixing, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_simhash, op4_toxicity, op5_quality_mil, op6_html_extraction, op7_quality_rules, op8_mixing, op9_language_id, op10_avi_media)}
 
 
 def oracle_sql() -> dict[str, str]:
