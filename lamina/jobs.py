@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -69,5 +70,6 @@ def submit(work: Callable[[], Any]) -> Job:
         except BaseException as error:  # the status carries it
             job.mark_error(error)
 
-    threading.Thread(target=inheritable_thread_target(run), daemon=True).start()
+    session = SparkSession.getActiveSession()
+    threading.Thread(target=inheritable_thread_target(session)(run) if session else run, daemon=True).start()
     return job
