@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.keys import entry_size
+from lamina.operators.along import running_sum
 from lamina.schema import DELETE, PUT, SCHEMA
 
 
@@ -97,5 +98,5 @@ def size_in_bytes(entries: DataFrame, *by: str) -> DataFrame:
 def fill_levels(entries: DataFrame, budget: int, by: tuple[str, ...] = ("src",)) -> DataFrame:
     """Bytes held after each entry in write order, and the number of budgets filled before it."""
     size = entry_size(F.col("key"), F.col("value"))
-    running = F.sum(size).over(Window.partitionBy(*by).orderBy("seq", "key", "ts").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return entries.withColumn("entry_bytes", size).withColumn("held", running).withColumn("flush_no", F.floor((F.col("held") - F.col("entry_bytes")) / budget).cast("long"))
+    held = running_sum(entries.withColumn("entry_bytes", size), list(by), ["seq", "key", "ts"], F.col("entry_bytes"), "held")
+    return held.withColumn("flush_no", F.floor((F.col("held") - F.col("entry_bytes")) / budget).cast("long"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.keys import newest_first, not_beyond, version_order
+from lamina.operators.along import carry_last
 from lamina.schema import is_tombstone
 
 
@@ -59,16 +60,16 @@ def history(df: DataFrame) -> DataFrame:
 def multi_get(probes: DataFrame, versions: DataFrame) -> DataFrame:
     """For each row of ``probes(probe_id, key, probe_ts)`` the newest version of its key at or before probe_ts.
 
-    An as-of lookup without a range join: probes and versions of a key are sorted together once, and each
-    probe takes the last version before it. Probes without one get NULLs.
+    An as-of lookup without a range join: probes and versions are sorted together once by key and version, and
+    each probe takes the last version before it. Both sides of a hot key spread over many tasks. Probes without
+    a version get NULLs.
     """
     entry = F.struct(*[F.col(c) for c in ("ts", "kind", "value", "src", "seq")])
-    marked = versions.select("key", F.col("ts").alias("at"), F.lit(0).alias("side"), (-F.col("src")).alias("rank"), "seq", entry.alias("entry"), F.lit(None).cast("long").alias("probe_id"))
-    empty = F.lit(None).cast(marked.schema["entry"].dataType)
-    asked = probes.select("key", F.col("probe_ts").alias("at"), F.lit(1).alias("side"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("seq"), empty.alias("entry"), F.col("probe_id").cast("long"))
-    before = Window.partitionBy("key").orderBy("at", "side", "rank", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = marked.unionByName(asked).withColumn("found", F.last("entry", ignorenulls=True).over(before)).where("side = 1")
-    return found.select("probe_id", "key", F.col("at").alias("probe_ts"), "found.ts", "found.kind", "found.value")
+    marked = versions.select("key", F.col("ts").alias("at"), F.lit(0).alias("side"), (-F.col("src")).alias("rank"), "seq", entry.alias("found"), F.lit(None).cast("long").alias("probe_id"))
+    nothing = F.lit(None).cast(marked.schema["found"].dataType)
+    asked = probes.select("key", F.col("probe_ts").alias("at"), F.lit(1).alias("side"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("seq"), nothing.alias("found"), F.col("probe_id").cast("long"))
+    carried = carry_last(marked.unionByName(asked), ["key"], ["at", "side", "rank", "seq"], "found").where("side = 1")
+    return carried.select("probe_id", "key", F.col("at").alias("probe_ts"), "found.ts", "found.kind", "found.value")
 
 
 def ordered(df: DataFrame) -> DataFrame:

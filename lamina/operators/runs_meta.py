@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.keys import KeyRange, encoded_size, entry_size, value_size
+from lamina.operators.along import carry_last, running_sum
 
 BLOCK_BYTES, RECORD_OVERHEAD, TRAILER = 4096, 12, 8
 
@@ -32,7 +33,7 @@ def overlap_pairs(zones: DataFrame, ranges: DataFrame) -> DataFrame:
 def block_index(df: DataFrame, every: int, run: str = "src") -> DataFrame:
     """First key of every ``every``-th distinct key of a run, numbered: a sparse index of its blocks."""
     keys = df.select(F.col(run).alias("run_id"), "key").distinct()
-    numbered = keys.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("key")) - 1)
+    numbered = running_sum(keys, ["run_id"], ["key"], F.lit(1), "n").withColumn("n", F.col("n") - 1)
     return numbered.where(F.col("n") % every == 0).select("run_id", (F.col("n") / every).cast("long").alias("block_no"), F.col("key").alias("start_key"))
 
 
@@ -40,8 +41,7 @@ def locate(probes: DataFrame, index: DataFrame) -> DataFrame:
     """For each of ``probes(run_id, key)`` the last block that starts at or before the key (block 0 if none does)."""
     starts = index.select("run_id", F.col("start_key").alias("key"), F.lit(0).alias("side"), "block_no")
     asked = probes.select("run_id", "key", F.lit(1).alias("side"), F.lit(None).cast("long").alias("block_no"))
-    before = Window.partitionBy("run_id").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = starts.unionByName(asked).withColumn("block_no", F.last("block_no", ignorenulls=True).over(before))
+    found = carry_last(starts.unionByName(asked), ["run_id"], ["key", "side"], "block_no")
     return found.where("side = 1").select("run_id", "key", F.coalesce("block_no", F.lit(0).cast("long")).alias("block_no"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.keys import entry_size
 from lamina.operators.merge import last_wins
-from lamina.schema import COLUMNS, SCHEMA, guard
+from lamina.schema import COLUMNS, SCHEMA, empty, guard
 from lamina.sources.files import Store
 
 
@@ -35,7 +35,7 @@ class Log:
         """Rows of the segments; of several writes of one (key, version) the last."""
         chosen = self.segments() if segments is None else segments
         if not chosen:
-            return self.spark.createDataFrame([], SCHEMA)
+            return empty(self.spark)
         return last_wins(self.spark.read.schema(SCHEMA).parquet(*[self.path(s) for s in chosen]))
 
     def recover(self, segments: list[int] | None = None) -> tuple[DataFrame, int, int]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lamina.functions.bloom import parquet_options
 from lamina.functions.keys import Key, KeyRange
 from lamina.operators.runs_meta import zone_map
-from lamina.schema import COLUMNS, SCHEMA
+from lamina.schema import COLUMNS, SCHEMA, empty
 from lamina.sources.files import Store
 
 
@@ -67,7 +67,7 @@ class Runs:
     def read(self, runs: list[Run]) -> DataFrame:
         """All rows of some runs; a later run has the lower ``src`` and so wins ties."""
         parts = [self.read_folder(r.folder).withColumn("src", F.lit(-r.run_id).cast("int")) for r in runs]
-        out = self.spark.createDataFrame([], SCHEMA)
+        out = empty(self.spark)
         for k, part in enumerate(parts):
             out = part if k == 0 else out.unionByName(part)
         return out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lamina.functions import bloom
 from lamina.functions import keys as K
 from lamina.operators import batch, merge, runs_meta
+from lamina.operators.along import carry_last, running_sum
 from lamina.schema import DELETE, PUT, guard
 from lamina.sources import binary
 
@@ -130,6 +131,20 @@ def test_block_packing_and_index(spark):
     assert zones.first()["min_key"] == "a" and runs_meta.overlapping(zones, K.KeyRange(K.Key("e", 0), None)).count() == 0
 
 
+def test_running_values_over_many_parts(spark):
+    data = [("hot" if k % 3 else f"g{k % 5}", k, 1 if k % 7 == 0 else None) for k in range(500)]
+    df = spark.createDataFrame(data, "g string, k long, v int")
+    sums, last = {}, {}
+    for g, k, v in data:
+        sums[g] = sums.get(g, 0) + k
+        last[g] = k if v else last.get(g)
+        data[k] = (g, k, sums[g], last[g])
+    got = running_sum(df, ["g"], ["k"], F.col("k"), "s").orderBy("k").collect()
+    assert [(r["g"], r["k"], r["s"]) for r in got] == [d[:3] for d in data]
+    carried = carry_last(df.withColumn("v", F.when(F.col("v") == 1, F.col("k"))), ["g"], ["k"], "v").orderBy("k").collect()
+    assert [(r["g"], r["k"], r["v"]) for r in carried] == [(d[0], d[1], d[3]) for d in data]
+
+
 def test_bloom_sizes(spark):
     df = spark.createDataFrame([(1000.0, 0.01), (100.0, 0.01), (1000.0, 0.001), (0.0, 0.5)], "n double, p double").withColumn("m", bloom.bits(F.col("n"), F.col("p")))
     assert [(r["m"], r["k"]) for r in df.withColumn("k", bloom.hashes(F.col("m"), F.col("n"))).collect()] == [(9586, 7), (959, 7), (14378, 10), (2, 1)]

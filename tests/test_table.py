@@ -77,6 +77,20 @@ def test_bulk_commit_and_stream(spark, tmp_path):
     assert {bytes(r["key"]): (r["ts"], r["kind"]) for r in spark.table("running").collect()} == {b"k": (2, 1), b"j": (1, 2)}
 
 
+def test_budget_flushes_and_refuses(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), budget_bytes=25)
+    put(t, a="1")
+    put(t, b="1")
+    assert t.can_fit(5) and not t.can_fit(6) and not t.zones
+    put(t, c="1")
+    assert len(t.zones) == 1 and t.held_bytes() == 10
+    with pytest.raises(ValueError, match="larger than the budget"):
+        put(t, d="x" * 50)
+    with t.reader() as r:
+        assert t.references() == 1 and set(view(r.snapshot())) == {b"a", b"b", b"c"}
+    assert t.references() == 0
+
+
 def test_recovery_keeps_the_last_write_and_true_size(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"))
     t.log.append(0, spark.createDataFrame([(b"a", 1, 1, b"x", 0, 0), (b"a", 1, 1, b"y", 0, 1), (b"b", 3, 2, None, 0, 2)], "key binary, ts long, kind byte, value binary, src int, seq long"))
