@@ -83,7 +83,6 @@ def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, tile: int = T
     order = np.lexsort((points, counts))
     points, counts, side = points[order], counts[order], side[order]
     linked_a, linked_b = [], []
-    label = np.arange(len(points))
     starts = range(0, len(points), tile)
     for a in starts:
         for b in range(a, len(points), tile):
@@ -97,7 +96,7 @@ def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, tile: int = T
             if keep.any():
                 i, j = i[keep] + a, j[keep] + b
                 # a forest of this tile pair is enough: hook every point to the least label it meets
-                i, j = _reduce(i, j, label)
+                i, j = _reduce(i, j)
                 linked_a.append(i)
                 linked_b.append(j)
     if not linked_a:
@@ -105,11 +104,11 @@ def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, tile: int = T
     return points[np.concatenate(linked_a)], points[np.concatenate(linked_b)]
 
 
-def _reduce(i: np.ndarray, j: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _reduce(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The components of the links (i, j) as edges from each point to the least point of its component."""
     nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
     x, y = flat[: len(i)], flat[len(i) :]
-    label = scratch[: len(nodes)].copy()
+    label = np.arange(len(nodes))
     while True:
         low = np.minimum(label[x], label[y])
         new = label.copy()
