@@ -47,7 +47,7 @@ DROPPED_ROLES = set("alert alertdialog banner complementary contentinfo dialog f
 DROPPED_NAMES = set(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
     "footer masthead comment comments disqus cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe "
-    "subscription share sharing social related recommended recommendations widget toolbar pagination pager login signup register search alert rail".split()
+    "subscription share sharing social related recommended recommendations replies responses widget toolbar pagination pager login signup register search alert rail".split()
 )
 CONTENT_NAMES = set("article content entry main post story".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,7 +57,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 class Page:
     """Nodes ``(parent, tag, label, dropped, in_article)`` and blocks ``(node, text, link characters)`` of one page."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, dropped: set[str] = DROPPED):
+        self._dropped = dropped
         self.nodes: list[tuple] = []
         self.blocks: list[tuple] = []
         self._stack: list[int] = []
@@ -116,7 +117,7 @@ class Page:
 
     def _describe(self, tag: str, attributes: str, parent: int) -> tuple[str, bool]:
         inside = parent >= 0 and self.nodes[parent][4]
-        dropped = tag in DROPPED or (tag == "header" and not inside)
+        dropped = tag in self._dropped or (tag == "header" and not inside)
         if not attributes or attributes.isspace():
             return tag, dropped
         classes, identity = "", ""
@@ -164,6 +165,8 @@ class Page:
                 return  # an inline end tag does not reach through blocks
 
     def _characters(self, raw: str, decode: bool = True) -> None:
+        if self._stack and self.nodes[self._stack[-1]][3]:
+            return
         text = html_module.unescape(raw) if decode and "&" in raw else raw
         self._text.append(text)
         for k in range(len(self._stack) - 1, -1, -1):
@@ -176,10 +179,8 @@ class Page:
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
-            if text and self._stack and not self.nodes[self._stack[-1]][3]:
-                self.blocks.append((self._stack[-1], text, self._links))
-            elif text and not self._stack:
-                self.blocks.append((-1, text, self._links))
+            if text:
+                self.blocks.append((self._stack[-1] if self._stack else -1, text, self._links))
             self._text, self._links = [], 0
 
     def _container(self, node: int) -> int:
@@ -246,11 +247,17 @@ class Page:
         return "\n\n".join(out)
 
 
+def read_page(source: str) -> Page:
+    """The page; if forms hold all of its text (some sites wrap every page in one), with the forms kept."""
+    page = Page(source)
+    return page if page.blocks or "<form" not in source.lower() else Page(source, DROPPED - {"form"})
+
+
 def extract(source: str | None, paths: list[str] | None = None) -> str:
     """Main text of one page under its best node on ``paths``, else under its own best container."""
     if not source:
         return ""
-    page = Page(source)
+    page = read_page(source)
     top = page.on_path(set(paths)) if paths else None
     return page.text_under(page.best() if top is None else top)
 
@@ -260,7 +267,7 @@ def _best_path(pages: pa.Array) -> pa.Array:
     out = []
     for p in pages:
         source = p.as_py()
-        page = Page(source) if source else None
+        page = read_page(source) if source else None
         top = page.best() if page else None
         out.append(None if top is None else page.path(top))
     return pa.array(out, type=pa.string())

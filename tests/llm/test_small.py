@@ -309,6 +309,11 @@ def test_html(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_inline_controls_and_wrapping_forms():
+    assert html_extract.extract("<article><p>Read <button>Share</button><span class='ad-label'>Ad</span> this <a href=x>link</a>.</p></article>") == "Read this link."
+    assert html_extract.extract("<body><form action=x><div class=content><p>All text sits in a form.</p></div></form></body>") == "All text sits in a form."
+
+
 def test_host_paths_win_over_a_page_of_its_own(spark):
     usual = "<html><body><div class='c1'><p>The article text of page {k}, long enough to win.</p></div><div class='x'><p>short</p></div></body></html>"
     odd = "<html><body><div class='c2'><p>Brief.</p></div><div class='x'><p>A block that is longer than the article of this page.</p></div></body></html>"
