@@ -3,12 +3,14 @@
 Every document of a source has the same expected number of copies r = target / source size. In a fixed
 order within the source the k-th document's copies are the integer boundaries that the prefix sum of
 expected copies, shifted by one random offset u in [0, 1), crosses: floor(k r + u) - floor((k - 1) r + u).
-So each document gets floor(r) or ceil(r) copies, and the total differs from the expectation by less than
-one document. The order is by size class, then a hash bucket, then size: neighbours have like sizes, so
-the words taken come near the target too. Reruns agree, as u and the order depend on the rows only.
-
-The prefix sum is distributed: a source is dealt to buckets of about ``rows_per_bucket`` rows, bucket
-counts are summed along each source on their small table, and rows are ranked inside their bucket. A
+So each document gets floor(r) or ceil(r) copies, and their number differs from the expectation by less than
+one. The order is by size class, then a hash bucket, then size: neighbours have like sizes, so the words
+taken come near the target too. Where a few long documents make up much of a source, the words still depend
+on u; of the ``ROTATIONS`` equally spaced rotations of the random offset the one whose words come nearest the
+target is used. Reruns agree, as the offset and the order depend on the rows only.
+
+The prefix sum is distributed: a source is dealt to buckets of about ``rows_per_bucket`` rows (more only
+beyond ``MAX_BUCKETS`` buckets), bucket counts are summed along each source on their small table, and rows are ranked inside their bucket. A
 source with a third of all rows is therefore ranked by many tasks. The per-source table is broadcast
 only if it is counted and small; beyond that it is joined by shuffling.
 
@@ -31,7 +33,7 @@ from lamina.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET, MAX_BUCKETS, ROTATIONS = 2_500, 100_000, 32
 BROADCAST_SOURCES = 10_000
 SEED = "mix-1"
 COMPUTED = ("size", "source_size", "target", "copies")
@@ -69,17 +71,19 @@ def source_targets(sizes: DataFrame, source_col: str = "source", seed: str = SEE
     share = (F.col("__w") * F.col("__left")).cast("double") / F.col("__free_w").cast("double")
     target = F.when(F.col("__capped"), (F.col("source_size") * MAX_COPIES).cast("double")).otherwise(share)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(F.lit(0.0))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("__rows") / F.lit(rows_per_bucket)))
+    buckets = F.least(F.greatest(F.lit(1), F.ceil(F.col("__rows") / F.lit(rows_per_bucket))), F.lit(MAX_BUCKETS))
     return ranked.withColumn("target", target).select("__source", "__sid", "source_size", "target", rate.alias("__r"), _offset(F.col("__source"), seed).alias("__u"), buckets.cast("long").alias("__m"))
 
 
 def count_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, seed: str = SEED, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per input row: the columns ``keep`` (default all) with size, source_size, target and copies."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in COMPUTED]
-    need = list(dict.fromkeys([id_col, source_col, *keep]))
-    sized, _ = materialize(docs.select(*need, n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("__tie")), "mix-sizes")
+    measured = [n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("__tie")]
+    sized, _ = materialize(docs.select(id_col, source_col, *measured), "mix-sizes")
     targets, _ = materialize(source_targets(sized, source_col, seed, rows_per_bucket), "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
+    if set(keep) - {id_col, source_col}:  # wide rows are measured again rather than written twice
+        sized = docs.select(*dict.fromkeys([id_col, source_col, *keep]), *measured)
     rows = sized.join(F.broadcast(targets) if small else targets, F.col(source_col).eqNullSafe(F.col("__source")))
     bucket = {"__c": F.floor(F.log2(F.col("size") + 1)).cast("int"), "__b": F.pmod(F.xxhash64(F.col(id_col)), F.col("__m"))}
     rows = rows.withColumns(bucket)
@@ -89,8 +93,22 @@ def count_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     inside = Window.partitionBy(*cells).orderBy("size", F.col(id_col).asc_nulls_last(), "__tie")
     placed = rows.withColumn("__k", F.row_number().over(inside)).join(starts, cells)
     k = (F.col("__start") + F.col("__k")).cast("double")
-    copies = F.floor(k * F.col("__r") + F.col("__u")) - F.floor((k - 1) * F.col("__r") + F.col("__u"))
-    return placed.select(*keep, F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("long").alias("copies"))
+    ranked, _ = materialize(placed.select(*keep, "__sid", "__r", "__u", "size", "source_size", "target", k.alias("__k")), "mix-ranked")
+
+    def copies(u: Column) -> Column:
+        return F.floor(F.col("__k") * F.col("__r") + u) - F.floor((F.col("__k") - 1) * F.col("__r") + u)
+
+    def rotated(j: int) -> Column:
+        moved = F.col("__u") + F.lit(j / ROTATIONS)
+        return F.when(moved >= 1, moved - 1).otherwise(moved)
+
+    taken = ranked.groupBy("__sid").agg(F.first("target").alias("__t"), *[F.sum(copies(rotated(j)) * F.col("size")).alias(f"__w{j}") for j in range(ROTATIONS)])
+    misses = F.array(*[F.struct(F.abs(F.col(f"__w{j}") - F.col("__t")).alias("miss"), F.lit(j).alias("j")) for j in range(ROTATIONS)])
+    chosen = taken.select("__sid", F.array_min(misses)["j"].alias("__j"))
+    final = ranked.join(F.broadcast(chosen) if small else chosen, "__sid")
+    moved = F.col("__u") + F.col("__j") / F.lit(float(ROTATIONS))
+    final = final.withColumn("__v", F.when(moved >= 1, moved - 1).otherwise(moved))
+    return final.select(*keep, F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", copies(F.col("__v")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:

@@ -62,7 +62,12 @@ c AS (SELECT *, 3 * source_size * rest_w <= (total - before) * w AS capped FROM
 f AS (SELECT *, total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS free, sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS free_w FROM c),
 t AS (SELECT source, source_size::BIGINT AS source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (w * free)::DOUBLE / free_w::DOUBLE END AS target,
         ('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f),
-k AS (SELECT d.doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS r,
+k AS (SELECT d.doc_id, d.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS r,
         row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1)), size, d.doc_id NULLS LAST)::DOUBLE AS k
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ((floor(k * r + u) - floor((k - 1) * r + u)) * size)::BIGINT AS taken FROM k"""
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+j AS (SELECT unnest(range(32)) AS j),
+v AS (SELECT source, j, target, CASE WHEN u + j / 32.0::DOUBLE >= 1 THEN u + j / 32.0::DOUBLE - 1 ELSE u + j / 32.0::DOUBLE END AS v FROM t, j),
+m AS (SELECT v.source, v.v, row_number() OVER (PARTITION BY v.source ORDER BY abs(sum((floor(k * r + v.v) - floor((k - 1) * r + v.v)) * size) - any_value(v.target)), v.j) AS rn
+      FROM k JOIN v ON k.source IS NOT DISTINCT FROM v.source GROUP BY v.source, v.j, v.v)
+SELECT doc_id, size, source_size, target, ((floor(k * r + v) - floor((k - 1) * r + v)) * size)::BIGINT AS taken
+FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source AND m.rn = 1"""
