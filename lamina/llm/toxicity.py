@@ -10,7 +10,7 @@ The lexicon, its weights, the exception phrases and the curve are learned from l
 at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents, those with the least hash of
 their id, with whole texts. Weights are log ratios of how often an entry occurs in toxic and in other
 texts. Entries are chosen greedily to cover the toxic documents (a document counts half after each
-entry that covers it), so that words that merely sit beside toxic ones stay out. Scoring reads whole texts of all rows and uses nothing else.
+entry that covers it), so that words that merely sit beside toxic ones stay out; at most ``MAX_ENTRIES`` entries and ``MAX_PHRASES`` phrases form the model. Scoring reads whole texts of all rows and uses nothing else.
 
 Defined results: NULL, empty and blank texts match nothing and get the score of a text without matches; if
 there are no toxic labels the lexicon is empty. Rows are scored one by one; an empty table gives an empty
@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
 MIN_PREFIX, MAX_PREFIX, MIN_WEIGHT, MAX_WEIGHT, MAX_ENTRIES, MIN_SUPPORT, MIN_GAIN = 4, 10, 2.5, 8.0, 500, 4, 2.5
+MAX_PHRASES = 5000
 #: A clean document counts against an entry in full at this many occurrences per hundred words.
 FULL_DENSITY, CLEAN_PENALTY = 0.8, 1.0
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
@@ -224,7 +225,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         rows = sample.mapInArrow(_incidence(candidates), "label long, words long, entries map<string,long>, phrases array<string>").persist()
         hits = [(r["label"], r["words"], r["entries"]) for r in rows.where(F.size("entries") > 0).select("label", "words", "entries").collect()]
         weights = {e: candidates[e] for e in _greedy(hits, candidates)}
-        phrases = rows.select("label", F.explode("phrases").alias("p")).groupBy("p").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where("t = 0 AND c >= 3").limit(5000).collect()
+        phrases = rows.select("label", F.explode("phrases").alias("p")).groupBy("p").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where("t = 0 AND c >= 3").orderBy(F.col("c").desc(), "p").limit(MAX_PHRASES).collect()
         parsed = (tuple(p[1:] if p else None for p in r["p"].split("\t")) for r in phrases)
         rows.unpersist()
         lexicon = Lexicon(weights, {p for p in parsed if p[1] in weights})
