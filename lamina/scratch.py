@@ -20,7 +20,7 @@ _CLEANED: set[str] = set()
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a fresh local folder only where Spark runs in one process."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
