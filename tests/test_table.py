@@ -8,6 +8,7 @@ from lamina.functions.keys import Key, KeyRange
 from lamina.jobs import Job, Status, submit
 from lamina.operators.batch import Batch
 from lamina.plans.table import SnapshotGone, VersionedTable
+from lamina.streaming.ingest import ingest
 from lamina.streaming.latest import start_view
 
 
@@ -77,6 +78,18 @@ def test_bulk_commit_and_stream(spark, tmp_path):
     assert {bytes(r["key"]): (r["ts"], r["kind"]) for r in spark.table("running").collect()} == {b"k": (2, 1), b"j": (1, 2)}
 
 
+def test_stream_of_mutations(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "key binary, kind byte, value binary, seq long"
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    for rows in ([(b"a", 1, b"1", 0), (b"b", 1, b"1", 1)], [(b"a", 2, None, 0)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        ingest(spark.readStream.schema(schema).parquet(source), t, str(tmp_path / "state")).awaitTermination()
+    assert t.next_ts == 3
+    with t.reader() as r:
+        assert view(r.snapshot()) == {b"b": (1, b"1")} and set(view(r.snapshot(as_of=1))) == {b"a", b"b"}
+
+
 def test_budget_flushes_and_refuses(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"), budget_bytes=25)
     put(t, a="1")
