@@ -15,7 +15,7 @@ from lamina.functions import keys as K
 from lamina.operators import batch, merge, runs_meta
 from lamina.schema import DELETE, is_tombstone
 from lamina.scratch import materialize, scratch_path
-from lamina.streaming.latest import running_latest, start_upserts
+from lamina.streaming.latest import start_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF, UPPER = 6666, "u000100"
