@@ -130,9 +130,10 @@ def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
     if not bags or len(set(labels.tolist())) < 2:
         return Model({}, np.zeros(FEATURES), np.ones(FEATURES))
     rng = np.random.default_rng(SEED)
-    stacked = np.concatenate(bags)
-    mean, scale = stacked.mean(axis=0), stacked.std(axis=0) + 0.05
-    bags = [np.clip((b - mean) / scale, -5, 5) for b in bags]
+    total = sum(map(len, bags))  # sums bag by bag, and bags in single precision: the sample is held once
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / total
+    scale = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / total) + 0.05
+    bags = [np.clip((b - mean) / scale, -5, 5).astype(np.float32) for b in bags]
     init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"W": init(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, ATTENTION), "U": init(HIDDEN, ATTENTION), "w": init(ATTENTION), "c": init(HIDDEN), "d": np.array(0.0)}
     m, q, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
@@ -142,7 +143,7 @@ def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
         speed = rate * 0.5 * (1 + np.cos(np.pi * epoch / rounds))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            x, sizes = np.concatenate([bags[k] for k in pick]), np.array([len(bags[k]) for k in pick])
+            x, sizes = np.concatenate([bags[k] for k in pick]).astype(np.float64), np.array([len(bags[k]) for k in pick])
             step += 1
             for k, g in _gradients(p, x, sizes, labels[pick], decay).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -168,7 +169,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     ids = [r[0] for r in rows.select(id_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample).collect()]
     picked = rows.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"), _bag(F.col(text_col)).alias("bag"))
     got = sorted(picked.limit(sample).collect(), key=lambda r: (r["id"], r["y"]))
-    bags = [np.frombuffer(r["bag"], dtype="<f4").reshape(-1, FEATURES).astype(np.float64) for r in got]
+    bags = [np.frombuffer(r["bag"], dtype="<f4").reshape(-1, FEATURES) for r in got]
     return fit_arrays(bags, np.array([r["y"] for r in got]))
 
 
