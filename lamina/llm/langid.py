@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED = 2048, 4, 300, 6000, 0.5, 7
+DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED, SPREAD = 2048, 4, 300, 6000, 0.35, 7, 64
 UNKNOWN = "und"
 _CHUNK = 1 << 18
 
@@ -146,6 +146,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Fit on at most ``per_language`` rows of a language and ``total`` rows of ``labelled`` (NULL labels ignored)."""
     order = F.xxhash64(F.col(id_col))
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), order.alias("__o"))
+    least = Window.partitionBy("__lang", F.pmod("__o", F.lit(SPREAD))).orderBy("__o", "__id")  # a hot language is thinned by many tasks first
+    rows = rows.withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= per_language)
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__lang").orderBy("__o", "__id"))).where(F.col("__r") <= per_language)
     ids = [r[0] for r in ranked.orderBy("__r", "__lang").limit(total).select("__id").collect()]  # at most `total` ids
     sample = labelled.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), _counts(F.col(text_col)).alias("c"))
