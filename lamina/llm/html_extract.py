@@ -262,8 +262,7 @@ def extract(source: str | None, paths: list[str] | None = None) -> str:
     return page.text_under(page.best() if top is None else top)
 
 
-@F.arrow_udf(T.StringType())
-def _best_path(pages: pa.Array) -> pa.Array:
+def _best_paths(pages: pa.Array) -> pa.Array:
     out = []
     for p in pages:
         source = p.as_py()
@@ -273,6 +272,10 @@ def _best_path(pages: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.string())
 
 
+#: Marked so that the optimiser neither repeats it in a filter nor moves the filter below it: one parse a page.
+_best_path = F.arrow_udf(_best_paths, T.StringType()).asNondeterministic()
+
+
 @F.arrow_udf(T.StringType())
 def _extract(pages: pa.Array, paths: pa.Array) -> pa.Array:
     return pa.array([extract(p.as_py(), w.as_py()) for p, w in zip(pages, paths, strict=True)], type=pa.string())
