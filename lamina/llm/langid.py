@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED, SPREAD = 2048, 4, 300, 6000, 0.35, 7, 64
+DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED, SPREAD = 2048, 4, 300, 6000, 0.35, 7, 16
 UNKNOWN = "und"
 _CHUNK = 1 << 18
 
