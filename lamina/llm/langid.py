@@ -3,8 +3,12 @@
 A text becomes a normalised TF-IDF vector of its letter n-grams (one to three letters, A-Z and other
 letters lower-cased, everything else a word break), hashed to ``DIMS`` places. Every language has several
 centroids, found by spherical k-means; a text gets the language of the centroid with the largest cosine.
-It is rejected if that cosine is below the language's threshold, which is a fraction of the cosines that
-its own training texts reach (shorter texts get a lower threshold, as they hold fewer n-grams).
+It is rejected if that cosine is below the language's threshold for texts that fill as many places: a
+cosine with a dense centroid is bounded by the places that a text fills, which grow with its length, while
+a text that repeats one word fills as few as a short one. The threshold is ``REJECT_FRACTION`` of a low
+quantile (``REJECT_QUANTILE``) of the cosines that the language's training texts and their beginnings
+(``HEADS`` characters) reach with centroids fitted without them, by class of filled places. A language with
+a single training text rejects nothing.
 
 The model is fitted on a bounded sample: at most ``SAMPLE_PER_LANGUAGE`` labelled documents of a language and
 ``SAMPLE_TOTAL`` in all, those with the least hash of their id, with whole texts. Prediction reads whole
@@ -25,7 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED, SPREAD = 2048, 4, 300, 6000, 0.35, 7, 16
+DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED, SPREAD = 2048, 4, 300, 6000, 0.6, 7, 16
+REJECT_QUANTILE, FOLDS, HEADS = 0.05, 4, (20, 60, 160, 400, 1000, 2500)
+#: Classes of filled places, and the square root of the middle of each.
+EDGES = np.array([0, 32, 64, 128, 256, 512, 1024, DIMS + 1])
+MIDDLES = np.sqrt([16, *np.sqrt(EDGES[1:-1] * EDGES[2:])])
 UNKNOWN = "und"
 _CHUNK = 1 << 18
 
@@ -77,7 +85,7 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
 
 @dataclass
 class Model:
-    """Centroids (unit rows), their languages, IDF weights and each language's rejection threshold."""
+    """Centroids (unit rows), their languages, IDF weights and the rejection thresholds of each at ``MIDDLES``."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -97,10 +105,9 @@ class Model:
         cosine = self.vectors(counts) @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(best)), best], 0.0, 1.0)
-        # a text of n letters fills few places: its cosine with a dense centroid is bounded by about sqrt(n)
-        size = np.minimum(1.0, np.sqrt(counts.sum(axis=1) / 3000.0))
+        filled = np.sqrt((counts > 0).sum(axis=1))
         for row, (k, _) in enumerate(found):
-            out[k] = (self.languages[best[row]], float(score[row]), bool(score[row] < self.thresholds[best[row]] * size[row]))
+            out[k] = (self.languages[best[row]], float(score[row]), bool(score[row] < np.interp(filled[row], MIDDLES, self.thresholds[best[row]])))
         return out
 
 
@@ -118,21 +125,42 @@ def _kmeans(vectors: np.ndarray, k: int, rng: np.random.Generator, rounds: int =
     return centers
 
 
-def fit_arrays(counts: np.ndarray, languages: list[str], reject_fraction: float = REJECT_FRACTION) -> Model:
+def _thresholds(model: Model, counts: np.ndarray, heads: list[str], reject_fraction: float) -> np.ndarray:
+    """The rejection thresholds at ``MIDDLES`` of one language, whose training texts have ``counts`` and begin with ``heads``."""
+    cosines, classes = [], []
+    vectors, folds = model.vectors(counts), min(FOLDS, len(counts))
+    fold = np.arange(len(counts)) % max(folds, 1)
+    for held in range(folds if folds > 1 else 0):
+        centers = _kmeans(vectors[fold != held], CENTROIDS, np.random.default_rng(SEED))
+        begun = [c for k in np.nonzero(fold == held)[0] if heads for n in HEADS if len(heads[k]) >= n and (c := ngram_counts(heads[k][:n])) is not None]
+        own = np.concatenate([counts[fold == held], np.stack(begun)]) if begun else counts[fold == held]
+        cosines.append((model.vectors(own) @ centers.T).max(axis=1))
+        classes.append(np.searchsorted(EDGES, (own > 0).sum(axis=1), side="right") - 1)
+    if not cosines:
+        return np.zeros(len(MIDDLES))
+    cosine, of = np.concatenate(cosines), np.concatenate(classes)
+    known = np.unique(of)
+    low = [reject_fraction * float(np.quantile(cosine[of == k], REJECT_QUANTILE)) for k in known]
+    # classes without a text lie between their neighbours; a few mixed texts must not lower a class below shorter ones
+    return np.maximum.accumulate(np.interp(MIDDLES, [0.0, *MIDDLES[known]], [0.0, *low]))
+
+
+def fit_arrays(counts: np.ndarray, languages: list[str], reject_fraction: float = REJECT_FRACTION, heads: list[str] | None = None) -> Model:
+    """``heads``: the beginnings of the texts, for the thresholds of shorter texts."""
     names = sorted(set(languages))
     if not names:
-        return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
+        return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((0, len(MIDDLES))))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1.0
-    model, labels = Model(names, np.zeros((0, DIMS)), idf, np.zeros(0)), np.array(languages)
+    model, labels = Model(names, np.zeros((0, DIMS)), idf, np.zeros((0, len(MIDDLES)))), np.array(languages)
     vectors, rng = model.vectors(counts), np.random.default_rng(SEED)
     centroids, owners, thresholds = [], [], []
     for name in names:
         mine = vectors[labels == name]
         centers = _kmeans(mine, CENTROIDS, rng)
-        low = float(np.median((mine @ centers.T).max(axis=1)))
+        begun = [heads[k] for k in np.nonzero(labels == name)[0]] if heads else []
         centroids.append(centers)
         owners += [name] * len(centers)
-        thresholds += [low * reject_fraction] * len(centers)
+        thresholds += [_thresholds(model, counts[labels == name], begun, reject_fraction)] * len(centers)
     return Model(owners, np.concatenate(centroids).astype(np.float32), idf, np.array(thresholds))
 
 
@@ -150,10 +178,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = rows.withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= per_language)
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__lang").orderBy("__o", "__id"))).where(F.col("__r") <= per_language)
     ids = [r[0] for r in ranked.orderBy("__r", "__lang").limit(total).select("__id").collect()]  # at most `total` ids
-    sample = labelled.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), _counts(F.col(text_col)).alias("c"))
+    sample = labelled.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), _counts(F.col(text_col)).alias("c"), F.substring(F.col(text_col), 1, max(HEADS)).alias("head"))
     got = sorted((r for r in sample.where("c IS NOT NULL").limit(total).collect()), key=lambda r: (r["lang"], r["id"]))
     counts = np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
-    return fit_arrays(counts, [r["lang"] for r in got], reject_fraction)
+    return fit_arrays(counts, [r["lang"] for r in got], reject_fraction, [r["head"] for r in got])
 
 
 def identify(text: Column, model: Model) -> Column:

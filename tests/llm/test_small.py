@@ -228,6 +228,32 @@ def test_language_id(spark, docs, none):
     assert {r["lang_pred"] for r in langid.predict(docs, unfit).collect()} == {"und"}
 
 
+def invented(rng, letters, syllables, n):
+    """``n`` characters of words of two or three of ``syllables`` syllables over ``letters``."""
+    parts = ["".join(rng.choice(list(letters), int(rng.integers(1, 4)))) for _ in range(syllables)]
+    picked = rng.choice(parts, n)
+    return "".join(p + " " * (k % 5 in (1, 4)) for k, p in enumerate(picked))[:n]
+
+
+def test_language_rejects_by_distance():
+    import base64
+
+    rng = np.random.default_rng(3)
+    alphabets = {"en": "etaoinshrd", "de": "enisratühß"}
+    all_of = {lang: invented(rng, letters, 60, 400_000) for lang, letters in alphabets.items()}
+    speech = {lang: [text[k * 4000 :][: int(n)] for k, n in enumerate(rng.integers(30, 4000, 100))] for lang, text in all_of.items()}
+    train = [(t, lang) for lang, texts in speech.items() for t in texts[:60]]
+    model = langid.fit_arrays(np.stack([langid.ngram_counts(t) for t, _ in train]), [lang for _, lang in train], heads=[t for t, _ in train])
+    for lang, texts in speech.items():
+        own = model.predict([t[:n] for t in texts[60:] for n in (60, 4000)])
+        assert sum(r for _, _, r in own) <= 1 and np.mean([p == lang for p, _, _ in own]) > 0.9
+    word = lambda letters, n: " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 10)))) for _ in range(n))[:n]
+    for n in (60, 3000, 20_000):
+        noise = [word("abcdefghijklmnopqrstuvwxyz", n), base64.b64encode(rng.bytes(n)).decode()[:n], "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n))), word("абвгдежзийклмнопрстуфхцчшщъыьэюя", n)]
+        assert [r for _, _, r in model.predict(noise)] == [True] * 4, n
+    assert not model.predict([speech["en"][0][:300] + " " + "eta. " * 2000])[0][2]  # one word, repeated, is not another language
+
+
 def test_language_vectors_do_not_depend_on_chunks(monkeypatch):
     text = "Ünïcode Wörter und ein paar Zahlen 123 " * 50
     whole = langid.ngram_counts(text)
