@@ -14,7 +14,8 @@ windows repeats no tokenizing, and a lost executor repeats only its own partitio
 
 Tokens: the vocabulary and merges of a byte-level BPE file of the ``tokenizers`` library, followed by an end
 token. The merges run in ``tiktoken``, with ranks built from that same file, which is several times
-faster; the first text of every worker is also encoded by ``tokenizers`` and must agree.
+faster; the first text of every worker is also encoded by ``tokenizers`` and must agree. The strings of
+the file's added tokens become their ids, as in ``tokenizers`` with ``add_special_tokens=False``.
 
 Defined results: NULL and empty texts are a lone end token; repeated rows are packed separately; rows
 with NULL ids are packed with a NULL id; an empty table gives an empty table. Other input columns are not
@@ -55,33 +56,33 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def encoder(path: str):
-    """``text -> list of ids`` for a byte-level BPE file; special tokens' strings are ordinary text."""
-    if path in _ENCODERS:
-        return _ENCODERS[path]
+def encoder(path: str, added: bool = False):
+    """``text -> list of ids`` for a byte-level BPE file; the strings of its added tokens are ordinary text, or with ``added`` become their ids."""
+    if (path, added) in _ENCODERS:
+        return _ENCODERS[path, added]
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special, byte_of = {t["content"] for t in spec["added_tokens"]}, _byte_of()
+    special, byte_of = {t["content"]: t["id"] for t in spec["added_tokens"]}, _byte_of()
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
+    exact.encode_special_tokens = not added
     checked = False
 
     def encode(text: str) -> list[int]:
         nonlocal checked
-        ids = fast.encode_ordinary(text)
+        ids = fast.encode(text, allowed_special="all") if added else fast.encode_ordinary(text)
         if text and not checked:
             checked = True
             if exact.encode(text, add_special_tokens=False).ids != ids:
                 raise RuntimeError("the two BPE engines disagree")
         return ids
 
-    _ENCODERS[path] = encode
+    _ENCODERS[path, added] = encode
     return encode
 
 
@@ -185,7 +186,7 @@ class _Rows:
 
 def _pack_partition(path: str, length: int, open_windows: int, max_waste: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(path)
+        part, encode = TaskContext.get().partitionId(), encoder(path, added=True)
         rows = _Rows(part << 32, pa.int64(), {"part": part})
         packer = Packer(rows.emit, length, open_windows, max_waste)
         for batch in batches:

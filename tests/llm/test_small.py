@@ -95,6 +95,20 @@ def test_tokenizers_agree():
         assert encode(text) == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_become_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer(), added=True)
+    texts = ["plain text first", "end <|endoftext|> begin", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", " it's  <|ENDOFTEXT|> é漢🙂"]
+    for text in ["", *texts]:
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode(texts[1])
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        ids = plain.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [packing.END_ID]
+        assert bytes(r["ids"]) == np.array(ids, dtype="<u4")[r["start"] : r["start"] + r["length"]].tobytes() and r["doc_tokens"] == len(ids)
+
+
 def slow_lines(rows):
     """Brute force: cut later repeats of three-unit windows."""
     units = []
