@@ -14,9 +14,10 @@ positions of each document come back as one sorted array, and the kept stretches
 windows are sliced out in linear time. Text is shuffled once, by document.
 
 Defined results: NULL text stays NULL and empty text stays empty; texts of fewer than three units never
-change. Rows with one doc_id count as one document (none is later than another); NULL doc_ids are
-together the last document. An empty table gives an empty table. Input columns pass through; ``text``
-is replaced, ``n_units`` and ``n_removed`` replace input columns of those names.
+change. NULL doc_ids come after all others, in the order of a 62-bit hash of their text, so that equal texts
+without an id count as one document, as do rows with one doc_id (none is later than another). An empty table
+gives an empty table. Input columns pass through, whatever their names; the text is replaced, ``n_units`` and
+``n_removed`` replace input columns of those names.
 
 Windows are compared by a 64-bit hash of three 64-bit unit hashes: among 10^12 windows about 3*10^4 meet
 a false equal.
@@ -27,13 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.text_columns import let
+from lamina.llm.text_columns import column, let, unwrapped, whole_row
 
 WINDOW = 3
 #: A newline that begins a line with a word.
 UNIT_BREAK = r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
 TRIMMED = " \t\n\x0b\x0c\r"
-_LAST = 2**63 - 1
+#: NULL doc_ids are dealt over this and higher order keys.
+_LAST = 2**62
 
 
 def _units(text: Column) -> Column:
@@ -61,19 +63,26 @@ def _without(units: Column, starts: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), gap))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later repeats of three-line windows cut from the text, plus ``n_units``, ``n_removed``."""
-    text = F.col(text_col)
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__d"), F.xxhash64(text).alias("__t")]
-    occurrences = docs.select(*key, F.explode(_occurrences(_units(text))).alias("__o")).select("__d", "__t", F.col("__o.h").alias("__h"), F.col("__o.i").alias("__i"), F.col("__o.first").alias("__first"))
-    repeated = occurrences.groupBy("__h").agg(F.min("__d").alias("__owner"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    later = occurrences.join(repeated, "__h").where((F.col("__d") != F.col("__owner")) | ~F.col("__first"))
-    marks = later.groupBy("__d", "__t").agg(F.sort_array(F.collect_set("__i")).alias("__starts"))
-
-    keyed = docs.drop("n_units", "n_removed").withColumns({"__d": key[0], "__t": key[1]})
-    joined = keyed.join(marks, ["__d", "__t"], "left").withColumn("__u", _units(text))
-    starts = F.coalesce(F.col("__starts"), F.array().cast("array<int>"))
-    kept = joined.withColumn("__kept", F.when(F.size(starts) == 0, F.col("__u")).otherwise(_without(F.col("__u"), F.col("__starts"))))
-    changed = F.when(F.size("__kept") < F.size("__u"), F.array_join("__kept", "\n")).otherwise(text)
-    out = kept.withColumns({text_col: changed, "n_units": F.size("__u").cast("long"), "n_removed": (F.size("__u") - F.size("__kept")).cast("long")})
-    return out.select(*[c for c in docs.columns if c not in ("n_units", "n_removed")], "n_units", "n_removed")
+def _order_key(doc_id: Column, text_hash: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(_LAST) + F.shiftrightunsigned(text_hash, 2))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with later repeats of three-line windows cut from the text, plus (with ``counts``) ``n_units``, ``n_removed``."""
+    text = column(text_col)
+    key = [_order_key(column(id_col), F.xxhash64(text)).alias("d"), F.xxhash64(text).alias("t")]
+    occurrences = docs.select(*key, F.explode(_occurrences(_units(text))).alias("o")).select("d", "t", "o.h", "o.i", "o.first")
+    repeated = occurrences.groupBy("h").agg(F.min("d").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = occurrences.join(repeated, "h").where((F.col("d") != F.col("owner")) | ~F.col("first"))
+    marks = later.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias("starts"))
+
+    keyed = docs.select(*key, whole_row(docs).alias("row"))
+    text = F.col("row")[text_col]
+    joined = keyed.join(marks, ["d", "t"], "left").withColumn("units", _units(text))
+    starts = F.coalesce(F.col("starts"), F.array().cast("array<int>"))
+    cut = joined.withColumn("rest", F.when(F.size(starts) == 0, F.col("units")).otherwise(_without(F.col("units"), F.col("starts"))))
+    changed = F.when(F.size("rest") < F.size("units"), F.array_join("rest", "\n")).otherwise(text)
+    added = {"n_units": F.size("units"), "n_removed": F.size("units") - F.size("rest")} if counts else {}
+    kept = [c for c in docs.columns if c not in added]
+    fields = [changed.alias(c) if c == text_col else f for c, f in zip(kept, unwrapped("row", kept), strict=True)]
+    return cut.select(*fields, *[v.cast("long").alias(c) for c, v in added.items()])
