@@ -4,9 +4,10 @@ Fingerprint: 64 majority bits over the XXH64 hashes of a text's 3-word shingles
 fingerprints link if they differ in at most ``radius`` bits; the links are found exactly:
 
 * equal fingerprints are one class from the start, so copies never meet pairwise;
-* by the pigeonhole principle linked fingerprints agree in one of radius + 1 bit blocks, so fingerprints
-  are dealt by (block, value): only tiles inside one such group need comparing, which keeps the work far
-  below all tile pairs as the corpus grows;
+* the 64 bits are cut into radius + ``AGREE`` blocks; linked fingerprints differ in at most radius of them, so
+  they agree in some ``AGREE`` blocks. Fingerprints are dealt once for each choice of ``AGREE`` blocks (for the
+  defaults ten choices of two out of five, 25 or 26 bits each), and only tiles inside one such group need
+  comparing: 10^10 distinct fingerprints make groups of some hundred, and comparisons stay far below all pairs;
 * inside a group, fingerprints sorted by population count form tiles; a tile pair whose population
   counts differ by more than the radius is skipped, since bits differ at least by that much; the others
   are compared in full with numpy exclusive-or and bit counts;
@@ -18,13 +19,15 @@ pairs, and :mod:`lamina.llm.components` joins the forests.
 
 Defined results: NULL, empty and blank texts have fingerprint 0, linked like any other; a text of one or
 two words has one shingle. ``component_id`` is the smallest doc_id reachable, NULL only if every doc_id
-in the component is. Repeated rows share a fingerprint and so a component. An empty table gives an empty
-table.
+in the component is. Repeated rows share a fingerprint and so a component. :func:`keep_one` keeps the row of the
+smallest doc_id (NULL last), among equal doc_ids that of the least fingerprint, then of the least row hash;
+of rows equal in all columns one. Input columns may have any names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.components import connected_components
+from lamina.llm.text_columns import column, row_hash, unwrapped, whole_row
 from lamina.scratch import materialize
 
-SHINGLE, RADIUS, GROUP_ROWS, TILE, SEED = 3, 3, 2048, 256, 42
+SHINGLE, RADIUS, AGREE, GROUP_ROWS, TILE, SEED = 3, 3, 2, 2048, 256, 42
 _LAST = 2**63 - 1
 
 
@@ -126,10 +130,11 @@ def _compare_groups(radius: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def edges_of(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        key, lo, hi, tile, fp = rows
+        *unit, tile, fp = rows
+        lo, hi = unit[2:]
         out_u, out_v = [], []
-        change = np.nonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0))[0] + 1
-        bounds = np.concatenate([[0], change, [len(key)]])
+        change = np.nonzero(np.any([part[1:] != part[:-1] for part in unit], axis=0))[0] + 1
+        bounds = np.concatenate([[0], change, [len(fp)]])
         for at in np.nonzero(np.diff(bounds) > 1)[0]:
             a, b = bounds[at], bounds[at + 1]
             mine, first = fp[a:b].view(np.uint64), tile[a:b] == lo[a]
@@ -147,7 +152,7 @@ def _compare_groups(radius: int):
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 now = [np.concatenate(p) for p in zip(rest, now, strict=True)]
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1]) if len(now[0]) else np.zeros(0, bool)
+            same = np.all([part == part[-1] for part in now[:4]], axis=0) if len(now[0]) else np.zeros(0, bool)
             cut = len(same) - int(same.sum())  # rows are sorted: the last group may go on in the next batch
             rest = [c[cut:] for c in now]
             if cut and (out := edges_of([c[:cut] for c in now])) is not None:
@@ -158,26 +163,36 @@ def _compare_groups(radius: int):
     return run
 
 
-def link_forest(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Edges ``(u, v)`` that span every link within ``radius`` among the distinct fingerprints ``fps(fp)``."""
-    n = radius + 1
+def _masks(radius: int, agree: int) -> list[int]:
+    """One mask (signed) for each choice of ``agree`` out of radius + ``agree`` blocks of the 64 bits."""
+    n = radius + agree
     cuts = [round(64 * k / n) for k in range(n + 1)]
-    blocks = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("value")) for k in range(n)]
-    members = fps.select("fp", F.explode(F.array(*blocks)).alias("b")).select("fp", (F.col("b.value") * n + F.col("b.block")).alias("key"))
-    big, _ = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("key"), "simhash-big")
-    small = members.join(big, "key", "left_anti").select("key", F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), F.lit(-1).cast("long").alias("tile"), "fp")
-    units = small
-    if not big.isEmpty():
-        hot = members.join(big, "key", "left_semi").withColumn("pop", F.bit_count("fp"))
-        cells = hot.groupBy("key", "pop").agg(F.count("*").alias("n")).select("key", "pop", F.ceil(F.col("n") / group_rows).cast("long").alias("subs"))
-        tiles = cells.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pop", "subs"))).alias("subs"))  # at most 65 entries
+    blocks = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(n)]
+    masks = [sum(choice) for choice in combinations(blocks, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def link_forest(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS, agree: int = AGREE) -> DataFrame:
+    """Edges ``(u, v)`` that span every link within ``radius`` among the distinct fingerprints ``fps(fp)``."""
+    key = ["choice", "value"]
+    shares = F.array(*[F.struct(F.lit(k).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for k, mask in enumerate(_masks(radius, agree))])
+    members = fps.select("fp", F.explode(shares).alias("s")).select("s.choice", "s.value", "fp")
+    # groups of one, the most, need no comparison; the counts of the others are small where few texts are alike
+    counts, _ = materialize(members.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "simhash-groups")
+    whole = F.lit(-1).cast("long")
+    sized = members.join(counts, key)
+    units = sized.where(F.col("n") <= group_rows).select(*key, whole.alias("lo"), whole.alias("hi"), whole.alias("tile"), "fp")
+    if not counts.where(F.col("n") > group_rows).isEmpty():
+        hot = sized.where(F.col("n") > group_rows).drop("n").withColumn("pop", F.bit_count("fp"))
+        cells = hot.groupBy(*key, "pop").agg(F.count("*").alias("n")).select(*key, "pop", F.ceil(F.col("n") / group_rows).cast("long").alias("subs"))
+        tiles = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("pop", "subs"))).alias("subs"))  # at most 65 entries
         tile_of = F.col("pop").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("fp"), F.element_at("subs", F.col("pop")))
         near = F.filter(F.sequence(F.col("pop") - radius, F.col("pop") + radius), lambda p: F.array_contains(F.map_keys("subs"), p))
         others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("subs", p) - 1), lambda s: p.cast("long") * F.lit(1 << 32) + s)))
-        dealt = hot.join(tiles, "key").withColumn("tile", tile_of).withColumn("other", F.explode(others))
-        units = units.unionAll(dealt.select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "fp"))
-    sorted_units = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return sorted_units.mapInArrow(_compare_groups(radius), "u long, v long")
+        dealt = hot.join(tiles, key).withColumn("tile", tile_of).withColumn("other", F.explode(others))
+        units = units.unionAll(dealt.select(*key, F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "fp"))
+    unit = [*key, "lo", "hi"]
+    return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_compare_groups(radius), "u long, v long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
@@ -191,20 +206,18 @@ def classes(docs: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``."""
-    prints, _ = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "simhash-prints")
+    prints, _ = materialize(docs.select(column(id_col).alias("doc_id"), fingerprint(column(text_col)).alias("fp")), "simhash-prints")
     return prints.join(classes(prints, radius, group_rows), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (NULL last); columns unchanged."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__d"), F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
-    printed, _ = materialize(rows.select("__d", "__row", fingerprint(F.col("__text")).alias("__fp")), "simhash-rows")
-    by_class = classes(printed.select("__d", "__fp"), radius, id_col="__d", fp_col="__fp")
-    # a document is kept by its id and fingerprint; of several fingerprints of the kept id the least one stays
-    winners = printed.select("__d", "__fp").distinct().join(by_class, F.col("__fp") == F.col("fp")).where(F.col("__d") == F.col("component_id"))
-    winners = winners.groupBy("component", "__d").agg(F.min("__fp").alias("__fp")).select("__d", "__fp")
-    kept = printed.join(winners, ["__d", "__fp"], "left_semi")
-    repeated = printed.groupBy("__d", "__fp").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["__d", "__fp"])
-    return kept.select("__row.*")
+    """``docs`` with one row of each component, columns unchanged; see the module for which."""
+    spot = [F.coalesce(column(id_col).cast("long"), F.lit(_LAST)).alias("d"), row_hash(docs).alias("tie")]
+    printed, _ = materialize(docs.select(*spot, fingerprint(column(text_col)).alias("fp")), "simhash-prints")
+    labelled = printed.join(classes(printed, radius, id_col="d").select("fp", "component", "component_id"), "fp")
+    # all rows of the kept id in a component: few, unless ids repeat
+    winners = labelled.where(F.col("d") == F.col("component_id")).groupBy("component").agg(F.min(F.struct("d", "fp", "tie")).alias("w")).select("w.d", "w.tie")
+    kept = docs.select(whole_row(docs).alias("row"), *spot).join(winners, ["d", "tie"], "left_semi")
+    if not printed.groupBy("d", "tie").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["d", "tie"])
+    return kept.select(*unwrapped("row", docs.columns))
