@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lamina.llm import mixing
 from lamina.llm import quality_rules as qr
 
 #: Words of a text, in DuckDB: the text is split on the same white space, empty parts dropped.
@@ -51,23 +52,25 @@ FROM d LEFT JOIN kept USING (r)"""
 
 
 def mixing_sql() -> str:
-    """For tables of at most one hash bucket per source, where the order is by size class, size and doc_id."""
+    """Rows equal in source, size and doc_id are ordered by a hash that SQL lacks; it plays no part where doc_ids differ."""
+    rate = f"CASE WHEN source_size - seen > 0 THEN least(greatest((target - taken) / (source_size - seen), 0.0::DOUBLE), {mixing.MAX_COPIES}.0::DOUBLE) ELSE plain END"
     return f"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::HUGEINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid FROM d GROUP BY source),
 w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, sum(source_size) OVER () AS total FROM s),
 o AS (SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w::DOUBLE, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         sum(w) OVER (ORDER BY source_size / w::DOUBLE, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM w),
 c AS (SELECT *, 3 * source_size * rest_w <= (total - before) * w AS capped FROM o),
 f AS (SELECT *, total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS free, sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS free_w FROM c),
-t AS (SELECT source, source_size::BIGINT AS source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (w * free)::DOUBLE / free_w::DOUBLE END AS target,
-        ('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f),
-k AS (SELECT d.doc_id, d.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS r,
-        row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1)), size, d.doc_id NULLS LAST)::DOUBLE AS k
+g AS (SELECT sid, source, source_size::BIGINT AS source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (w * free)::DOUBLE / free_w::DOUBLE END AS target,
+        ('0x' || substr(md5('{mixing.SEED}:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f),
+t AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS plain FROM g),
+k AS (SELECT doc_id, size, t.*, row_number() OVER (PARTITION BY sid ORDER BY size DESC, doc_id ASC NULLS LAST) - 1 AS k, size * {mixing.LARGE} > source_size AS large
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-j AS (SELECT unnest(range(32)) AS j),
-v AS (SELECT source, j, target, CASE WHEN u + j / 32.0::DOUBLE >= 1 THEN u + j / 32.0::DOUBLE - 1 ELSE u + j / 32.0::DOUBLE END AS v FROM t, j),
-m AS (SELECT v.source, v.v, row_number() OVER (PARTITION BY v.source ORDER BY abs(sum((floor(k * r + v.v) - floor((k - 1) * r + v.v)) * size) - any_value(v.target)), v.j) AS rn
-      FROM k JOIN v ON k.source IS NOT DISTINCT FROM v.source GROUP BY v.source, v.j, v.v)
-SELECT doc_id, size, source_size, target, ((floor(k * r + v) - floor((k - 1) * r + v)) * size)::BIGINT AS taken
-FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source AND m.rn = 1"""
+e AS (SELECT sid, source_size, target, plain, u, (-1)::BIGINT AS k, 0.0::DOUBLE AS p, 0::BIGINT AS copies, 0::BIGINT AS taken, 0::BIGINT AS seen FROM t
+  UNION ALL SELECT sid, source_size, target, plain, u, k, p + r, n, taken + n * size, seen + size FROM
+    (SELECT *, (floor(p + r + u) - floor(p + u))::BIGINT AS n FROM (SELECT e.* EXCLUDE (k), x.k, x.size, {rate} AS r FROM e JOIN (SELECT sid, k, size FROM k WHERE large) x ON x.sid = e.sid AND x.k = e.k + 1))),
+l AS (SELECT sid, max(k) + 1 AS n_large, max(p) AS p, arg_max({rate}, k) AS rate FROM e GROUP BY sid)
+SELECT k.doc_id, k.size, k.source_size, k.target,
+  (CASE WHEN k.large THEN e.copies ELSE floor(l.p + (k.k - n_large + 1)::DOUBLE * rate + k.u) - floor(l.p + (k.k - n_large)::DOUBLE * rate + k.u) END * k.size)::BIGINT AS taken
+FROM k JOIN l ON k.sid = l.sid LEFT JOIN e ON e.sid = k.sid AND e.k = k.k"""
