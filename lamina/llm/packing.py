@@ -8,24 +8,29 @@ to fill it first, so no emitted window wastes more than that. At the end of the
 are merged (the emptiest fill the fullest) until at most one partial window is left, and the partial
 windows of all partitions, a small table, are merged in groups of neighbouring partitions.
 
-Every token of a document lies in exactly one piece. Memory per task: ``open_windows`` windows and one
-Arrow batch. The packed pieces are written to the shared scratch folder once, so that merging the last
-windows repeats no tokenizing, and a lost executor repeats only its own partitions.
+Every token of a document lies in exactly one piece. Memory per task: ``open_windows`` windows, one Arrow batch
+of texts, and the ids of one document (four bytes a token); its full windows leave in small batches while it is
+cut. Long texts are encoded in parts of about ``PART`` characters, cut before a lone space between two word characters,
+where byte-level BPE begins a new token in any case. The packed pieces are written to the shared scratch folder
+once, so that merging the last windows repeats no tokenizing, and a lost executor repeats only its own
+partitions; ids are written only where they are asked for or needed by the merge.
 
 Tokens: the vocabulary and merges of a byte-level BPE file of the ``tokenizers`` library, followed by an end
-token. The merges run in ``tiktoken``, with ranks built from that same file, which is several times
-faster; the first text of every worker is also encoded by ``tokenizers`` and must agree. The strings of
-the file's added tokens become their ids, as in ``tokenizers`` with ``add_special_tokens=False``.
+token. The merges run in ``tiktoken``, which merges by ascending id and so is used only for a file whose merges make ids in
+ascending order (checked when it is read); it is several times faster. The first text of every worker is also
+encoded by ``tokenizers`` and must agree. The strings of the file's added tokens become their ids, as in
+``tokenizers`` with ``add_special_tokens=False``.
 
 Defined results: NULL and empty texts are a lone end token; repeated rows are packed separately; rows
 with NULL ids are packed with a NULL id; an empty table gives an empty table. Other input columns are not
-read.
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,11 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.text_columns import column
 from lamina.scratch import materialize
 
 LENGTH, OPEN_WINDOWS, MAX_WASTE, END_ID = 2048, 64, 20, 1
-MERGE_PARTITIONS = 256
+MERGE_PARTITIONS, PART, BATCH = 256, 1 << 20, 1000
 _ENCODERS: dict = {}
+_CUT = re.compile(r"(?<=\w) (?=\w)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -68,6 +75,9 @@ def encoder(path: str, added: bool = False):
         spec = json.load(file)
     special, byte_of = {t["content"]: t["id"] for t in spec["added_tokens"]}, _byte_of()
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
+    made = [ranks[bytes(byte_of[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in spec["model"]["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)) or len(made) + 256 != len(ranks):
+        raise ValueError("the file's merges do not make ids in ascending order")
     fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
     exact = Tokenizer.from_file(path)
     exact.encode_special_tokens = not added
@@ -86,6 +96,24 @@ def encoder(path: str, added: bool = False):
     return encode
 
 
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """The text in parts of at least ``size`` characters whose tokens are those of the whole text."""
+    begin = 0
+    while len(text) - begin > size:
+        cut = _CUT.search(text, begin + size)
+        if cut is None:
+            break
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:] if begin else text
+
+
+def ids_of(text: str | None, encode, end_id: int) -> np.ndarray:
+    """All ids of one document."""
+    arrays = [np.array(encode(part), dtype="<u4") for part in parts(text or "")]
+    return np.concatenate([*arrays, np.array([end_id], dtype="<u4")])
+
+
 class Packer:
     """The open windows of one stream. A piece is (doc, start, ids, doc_tokens); windows leave through ``emit``."""
 
@@ -95,11 +123,13 @@ class Packer:
         self.windows: dict[int, list] = {}
         self.opened = 0
 
-    def add(self, doc, ids: np.ndarray) -> None:
+    def add(self, doc, ids: np.ndarray) -> Iterator[None]:
+        """Take a document; a step for each full window, so that the caller can pass emitted ones on between."""
         total = len(ids)
         full = total - total % self.length
         for at in range(0, full, self.length):
             self.emit([(doc, at, ids[at : at + self.length], total)])
+            yield
         if total > full:
             self.place((doc, full, ids[full:], total))
 
@@ -159,8 +189,8 @@ def fill(pieces, emit, length: int) -> list | None:
 class _Rows:
     """Emitted windows as Arrow batches of the piece schema (plus the partition and an open flag)."""
 
-    def __init__(self, prefix: int, doc_type: pa.DataType, extra: dict | None = None):
-        self.prefix, self.doc_type, self.extra = prefix, doc_type, extra or {}
+    def __init__(self, prefix: int, doc_type: pa.DataType, extra: dict | None = None, with_ids: bool = True):
+        self.prefix, self.doc_type, self.extra, self.with_ids = prefix, doc_type, extra or {}, with_ids
         self.rows: list[tuple] = []
         self.count = 0
 
@@ -169,7 +199,7 @@ class _Rows:
         self.count += 1
         for doc, start, ids, total in window:
             raw = ids.tobytes()
-            self.rows.append((doc, start, len(ids), zlib.crc32(raw), total, sequence, at, raw, is_open))
+            self.rows.append((doc, start, len(ids), zlib.crc32(raw), total, sequence, at, raw if self.with_ids or is_open else None, is_open))
             at += len(ids)
 
     def take(self) -> pa.RecordBatch:
@@ -184,19 +214,18 @@ class _Rows:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _pack_partition(path: str, length: int, open_windows: int, max_waste: int, end_id: int):
+def _pack_partition(path: str, length: int, open_windows: int, max_waste: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(path, added=True)
-        rows = _Rows(part << 32, pa.int64(), {"part": part})
+        rows = _Rows(part << 32, pa.int64(), {"part": part}, with_ids)
         packer = Packer(rows.emit, length, open_windows, max_waste)
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            for doc, text in zip(docs, batch.column(1), strict=True):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                packer.add(doc, np.array(ids, dtype="<u4"))
-                if len(rows.rows) >= 2000:
-                    yield rows.take()
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                for _ in packer.add(doc.as_py(), ids_of(text.as_py(), encode, end_id)):
+                    if len(rows.rows) >= BATCH:
+                        yield rows.take()
+            if len(rows.rows) >= BATCH:
+                yield rows.take()
         partial = packer.merge()
         if partial:
             rows.emit(partial, is_open=True)
@@ -205,7 +234,7 @@ def _pack_partition(path: str, length: int, open_windows: int, max_waste: int, e
     return run
 
 
-def _merge_partials(length: int):
+def _merge_partials(length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, group, window = None, None, []
 
@@ -220,7 +249,7 @@ def _merge_partials(length: int):
                     group, window = group_now, []
                     if rows is not None and rows.rows:
                         yield rows.take().drop_columns(["open"])
-                    rows = _Rows((1 << 62) | (group << 32), pa.int64())
+                    rows = _Rows((1 << 62) | (group << 32), pa.int64(), with_ids=with_ids)
                 window = fill([*window, (doc, start, np.frombuffer(raw, dtype="<u4"), total)], rows.emit, length) or []
         close()
         if rows is not None and rows.rows:
@@ -229,13 +258,13 @@ def _merge_partials(length: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, max_waste: int = MAX_WASTE, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (u32, little-endian)."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = source.mapInArrow(_pack_partition(tokenizer or default_tokenizer(), length, open_windows, max_waste, end_id), PIECES + ", open boolean, part long")
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, max_waste: int = MAX_WASTE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, unless switched off, ids (u32, little-endian)."""
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    packed = source.mapInArrow(_pack_partition(tokenizer or default_tokenizer(), length, open_windows, max_waste, end_id, with_ids), PIECES + ", open boolean, part long")
     stored, _ = materialize(packed, "packed", partition_by=["open"])
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     partial = stored.where("open").select((F.col("part") / MERGE_PARTITIONS).cast("long").alias("group"), "part", "offset", "doc_id", "start", "doc_tokens", "ids")
     ordered = partial.repartition("group").sortWithinPartitions("group", "part", "offset")
-    merged = ordered.select("group", "doc_id", "start", "doc_tokens", "ids").mapInArrow(_merge_partials(length), PIECES)
+    merged = ordered.select("group", "doc_id", "start", "doc_tokens", "ids").mapInArrow(_merge_partials(length, with_ids), PIECES)
     return stored.where("NOT open").select(*names).unionByName(merged.select(*names))
