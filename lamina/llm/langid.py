@@ -11,12 +11,15 @@ quantile (``REJECT_QUANTILE``) of the cosines that the language's training texts
 a single training text rejects nothing.
 
 The model is fitted on a bounded sample: at most ``SAMPLE_PER_LANGUAGE`` labelled documents of a language and
-``SAMPLE_TOTAL`` in all, those with the least hash of their id, with whole texts. Prediction reads whole
-texts of all rows and uses nothing else.
+``SAMPLE_TOTAL`` in all, those with the least hash of their id, with whole texts. Languages are counted first, and
+each one's rows are thinned by a hash threshold that lets about twice the sample through, so that ranking
+them meets a bounded number of rows in a language, however many it has. Prediction reads whole texts of all rows and uses
+nothing else.
 
 Defined results: ``und``, score 0 and rejected for NULL texts and texts without a letter; if no labelled
-document exists, every text is ``und``. Rows are judged one by one; an empty table gives an empty table.
-Input columns pass through; ``lang_pred``, ``score`` and ``rejected`` replace columns of those names.
+document exists, every text is ``und``. Rows with a NULL id or language are not learned from; of rows with one
+id any may be. Rows are judged one by one; an empty table gives an empty table. Input columns pass through,
+whatever their names; ``lang_pred``, ``score`` and ``rejected`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED, SPREAD = 2048, 4, 300, 6000, 0.6, 7, 16
+from lamina.llm.samples import MAX_CHARS
+from lamina.llm.text_columns import column, unwrapped, whole_row
+from lamina.scratch import materialize
+
+DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED = 2048, 4, 300, 6000, 0.6, 7
 REJECT_QUANTILE, FOLDS, HEADS = 0.05, 4, (20, 60, 160, 400, 1000, 2500)
 #: Classes of filled places, and the square root of the middle of each.
 EDGES = np.array([0, 32, 64, 128, 256, 512, 1024, DIMS + 1])
@@ -73,7 +80,7 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
         letters = _letters(text[at : at + _CHUNK])
         seen = seen or bool((letters != 32).any())
         x = np.concatenate([tail, letters])
-        x = x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]  # a run of breaks counts once
+        x = x[np.concatenate([[True, True], (x[2:] != 32) | (x[1:-1] != 32)])]  # a run of breaks counts once
         a, tail = x * np.uint32(2654435761), x[-2:]
         b = a[1:] ^ (x[:-1] * np.uint32(2246822519))
         c = b[1:] ^ (x[:-2] * np.uint32(3266489917))
@@ -172,14 +179,24 @@ def _counts(texts: pa.Array) -> pa.Array:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_TOTAL, reject_fraction: float = REJECT_FRACTION) -> Model:
     """Fit on at most ``per_language`` rows of a language and ``total`` rows of ``labelled`` (NULL labels ignored)."""
-    order = F.xxhash64(F.col(id_col))
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), order.alias("__o"))
-    least = Window.partitionBy("__lang", F.pmod("__o", F.lit(SPREAD))).orderBy("__o", "__id")  # a hot language is thinned by many tasks first
-    rows = rows.withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= per_language)
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__lang").orderBy("__o", "__id"))).where(F.col("__r") <= per_language)
-    ids = [r[0] for r in ranked.orderBy("__r", "__lang").limit(total).select("__id").collect()]  # at most `total` ids
-    sample = labelled.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), _counts(F.col(text_col)).alias("c"), F.substring(F.col(text_col), 1, max(HEADS)).alias("head"))
-    got = sorted((r for r in sample.where("c IS NOT NULL").limit(total).collect()), key=lambda r: (r["lang"], r["id"]))
+    rows = labelled.select(column(id_col).alias("id"), column(lang_col).alias("lang"), column(text_col).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
+    thinned = rows.join(counted, "lang").where((F.col("h").cast("double") + F.lit(2.0**63)) <= share * F.lit(2.0**64)).select("id", "lang", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    ranked = thinned.withColumn("r", rank).where(F.col("r") <= per_language)
+    ids = sorted({r[0] for r in ranked.orderBy("r", "lang").limit(total).select("id").collect()})  # at most `total` ids
+    digest = [F.length("text").alias("n"), _counts(F.col("text")).alias("c"), F.substring("text", 1, max(HEADS)).alias("head")]
+    picked, _ = materialize(rows.where(F.col("id").isin(ids)).select("lang", "h", "id", *digest), "language-sample")
+    # repeated ids can make more rows than were ranked: the limits are on rows and characters
+    got, chars = [], 0
+    for r in picked.where("c IS NOT NULL").orderBy("h", "id", "lang", F.xxhash64("c")).limit(total).collect():
+        chars += r["n"]
+        if got and chars > MAX_CHARS:
+            break
+        got.append(r)
+    got.sort(key=lambda r: (r["lang"], r["id"]))
     counts = np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
     return fit_arrays(counts, [r["lang"] for r in got], reject_fraction, [r["head"] for r in got])
 
@@ -197,8 +214,14 @@ def identify(text: Column, model: Model) -> Column:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.withColumn("__p", identify(F.col(text_col), model)).select(*keep, "__p.lang_pred", "__p.score", "__p.rejected")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    return docs.select(whole_row(docs).alias("row"), identify(column(text_col), model).alias("p")).select(*unwrapped("row", kept), "p.lang_pred", "p.score", "p.rejected")
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, unchanged."""
+    judged = docs.select(whole_row(docs).alias("row"), identify(column(text_col), model).alias("p"))
+    return judged.where("NOT p.rejected").select(*unwrapped("row", docs.columns))
 
 
 def remainder(id_col: str, folds: int) -> Column:
