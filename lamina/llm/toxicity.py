@@ -1,20 +1,27 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length.
 
-Folding lower-cases (accented letters stay letters of their own), maps look-alike letters of other scripts and digits that stand for
-letters, drops zero-width characters, and turns everything else into single word breaks. The lexicon holds
-word beginnings with weights; a match must start at a word. Where several entries match one word the
-heaviest counts. Exception phrases (an entry with the word before or after it) cancel a match. The summed
-weight per hundred words passes through a logistic curve to a score from 0 to 1.
-
-The lexicon, its weights, the exception phrases and the curve are learned from labels on a bounded sample:
-at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents, those with the least hash of
-their id, with whole texts. Weights are log ratios of how often an entry occurs in toxic and in other
-texts. Entries are chosen greedily to cover the toxic documents (a document counts half after each
-entry that covers it), so that words that merely sit beside toxic ones stay out; at most ``MAX_ENTRIES`` entries and ``MAX_PHRASES`` phrases form the model. Scoring reads whole texts of all rows and uses nothing else.
+Folding composes the text (NFKC, so mathematical, full-width and circled letters become plain ones), lower-cases it, drops
+zero-width characters and marks that belong to no letter, and maps look-alike letters of other scripts. In words that
+hold a letter, digits and signs that stand for letters are mapped too; numbers stay out. Everything else is a word break.
+Every word has two forms: that one, with its accents, and a plain one without them. A lexicon entry is a word
+beginning and must start at a word; it is matched against both forms if it has no accent itself, else against the
+first, so ``ïdiot`` is found, while a beginning that accents tell apart from others stays apart. Where
+several entries match one word the heaviest counts. A match is cancelled if the word before or the word after makes an
+exception phrase with it. The summed weight per hundred words passes through a logistic curve to a score from 0 to 1.
+
+The lexicon, its weights, further exception phrases and the curve are learned from labels on a bounded sample:
+at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents (:mod:`lamina.llm.samples`).
+Candidates are all beginnings of ``MIN_PREFIX`` to ``MAX_PREFIX`` letters that at least ``MIN_SUPPORT`` toxic
+sample texts hold and no longer beginning holds as often (so ``trash``, never ``tras``); their weights are log
+ratios of how often they occur in toxic and in other texts. Entries are chosen greedily to cover the toxic
+documents (a document counts half after each entry that covers it), so that words that merely sit beside
+toxic ones stay out; after each choice the words it matches are taken out, so a shorter beginning must win by
+other words. Choosing ends when nothing adds ``MIN_GAIN`` documents. Phrases are then looked for around the chosen
+entries: word pairs in at least ``MIN_PHRASE`` clean texts and no toxic one. Scoring reads whole texts of all rows and uses nothing else.
 
 Defined results: NULL, empty and blank texts match nothing and get the score of a text without matches; if
 there are no toxic labels the lexicon is empty. Rows are scored one by one; an empty table gives an empty
-table. Input columns pass through; ``score``, ``matches`` and ``n_words`` replace columns of those names.
+table. Input columns pass through, whatever their names; ``score``, ``matches`` and ``n_words`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -23,7 +30,6 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -33,207 +39,262 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.llm.samples import MAX_CHARS, sampled
+from lamina.llm.text_columns import column, unwrapped, whole_row
+
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
-MIN_PREFIX, MAX_PREFIX, MIN_WEIGHT, MAX_WEIGHT, MAX_ENTRIES, MIN_SUPPORT, MIN_GAIN = 4, 10, 2.5, 8.0, 500, 4, 2.5
-MAX_PHRASES = 5000
+MIN_PREFIX, MAX_PREFIX, MIN_SUPPORT, MIN_WEIGHT, MAX_WEIGHT, MIN_GAIN, MIN_PHRASE = 3, 32, 3, 2.5, 8.0, 2.0, 3
 #: A clean document counts against an entry in full at this many occurrences per hundred words.
 FULL_DENSITY, CLEAN_PENALTY = 0.8, 1.0
-#: Letters of other scripts that look like Latin ones, and digits that stand for letters.
-LOOK_ALIKES = dict(zip("авекмнорстухіјѕԁɡһӏαβεικνορτυχ", "abekmhopctyxijsdghlabeiknoptux", strict=True))
-DIGITS = dict(zip("0134578@", "oieastba", strict=True))
-ZERO_WIDTH = "­​‌‍⁠﻿"
-_DOLLAR = re.compile(r"\$(?=\$*[^\W\d_])")
-
-
-def _fold_table() -> dict[int, str]:
-    table: dict[int, str] = {}
-    for code in [*range(0x530), *range(0x1E00, 0x2000), *range(0x2000, 0x2070), *range(0xFF00, 0xFF5F)]:
-        char = chr(code).lower()
-        if char in ZERO_WIDTH:
-            table[code] = ""
-            continue
-        base = unicodedata.normalize("NFKC", char)
-        base = "".join(LOOK_ALIKES.get(c, DIGITS.get(c, c)) for c in base)
-        table[code] = base if base.isalpha() else " "
-    return table
-
-
-_STATE: dict = {}
+#: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
+LOOK_ALIKES = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "һ": "h", "ӏ": "l", "ѵ": "v", "ү": "y", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v",
+    "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ϳ": "j", "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "ɑ": "a", "ı": "i", "ȷ": "j",
+    "ꭺ": "a", "ꭰ": "d", "ꭼ": "e", "ꮋ": "h", "ꭻ": "j", "ꮮ": "l", "ꮇ": "m", "ꮲ": "p", "ꭱ": "r", "ꮪ": "s", "ꭲ": "t", "ꮃ": "w",
+}
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "|": "i"}
+#: Phrases (first word, second word) that make an entry harmless.
+PHRASES = {("clown", "fish"), ("clown", "fishes"), ("clown", "car"), ("class", "clown"), ("trash", "can"), ("trash", "bag"), ("trash", "bin"), ("trash", "collection"), ("pond", "scum"), ("idiot", "proof"), ("dummy", "variable"), ("savage", "garden")}
+#: Letters whose Unicode name says which Latin letter they vary (strokes, small capitals, squared and other letters).
+_VARIANT = re.compile(r"(?:LATIN (?:SMALL |CAPITAL )?LETTER (?:SMALL CAPITAL )?|REGIONAL INDICATOR SYMBOL LETTER )([A-Z])(?: WITH (?:STROKE|BAR|HOOK|TAIL|RETROFLEX HOOK|MIDDLE TILDE|CURL|LOOP|SWASH TAIL|DIAGONAL STROKE|LEFT HOOK|RIGHT HOOK|LONG LEG|BELT|DESCENDER|PALATAL HOOK|OBLIQUE STROKE|HIGH STROKE|CROSSED-TAIL))?$")
+#: A word with a digit or sign next to its letters; signs that merely follow a word are left out.
+_MIXED = re.compile(r"[^\s!|]\S*")
+_SIGNED = re.compile(f"[{re.escape(''.join(SIGNS))}]")
+
+
+class _Fold(dict):
+    """Code point to folded text, filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = folded = self._fold(chr(code))
+        return folded
+
+    @staticmethod
+    def _fold(char: str) -> str:
+        low, kind = char.lower(), unicodedata.category(char)
+        if low in LOOK_ALIKES:
+            return LOOK_ALIKES[low]
+        if kind in ("Mn", "Me", "Cf"):
+            return ""
+        variant = _VARIANT.search(unicodedata.name(char, "")) if ord(char) >= 128 and (kind == "So" or not unicodedata.decomposition(char)) else None
+        if variant:
+            return variant[1].lower()
+        if kind[0] == "L":
+            return "".join(LOOK_ALIKES.get(c, c) for c in low if c.isalpha())
+        return char if char in SIGNS or char.isdigit() else " "
+
+
+_FOLD = _Fold()
+
+
+def _letters_only(word: str) -> str:
+    """The word with digits and signs read as letters; word breaks where that fails, and no word without a letter."""
+    core = word.rstrip("!|$€@").lstrip("!|")
+    if not any(c.isalpha() for c in core):
+        return " "
+    return "".join(c if c.isalpha() else SIGNS.get(c, " ") for c in core)
 
 
 def fold(text: str | None) -> str:
-    """Folded words, each preceded by one space."""
+    """Folded words with their accents, each preceded by one space."""
     if not text:
         return ""
-    if "table" not in _STATE:
-        _STATE["table"] = _fold_table()
-    if "$" in text:
-        text = _DOLLAR.sub("s", text)
-    words = text.translate(_STATE["table"]).split()
+    folded = unicodedata.normalize("NFKC", text).translate(_FOLD)
+    words = folded.split()
+    if _SIGNED.search(folded) or not folded.replace(" ", "").isalpha():
+        words = " ".join(w if w.isalpha() else _letters_only(w) for w in words).split()
     return " " + " ".join(words) if words else ""
 
 
+def plain(folded: str) -> str:
+    """The words without accents: the same words at the same places in order."""
+    if folded.isascii():
+        return folded
+    return "".join(c for c in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(c))
+
+
 @dataclass
 class Lexicon:
-    """Word beginnings with weights, exception phrases ``(before, entry, after)`` with one side None, and the curve."""
+    """Word beginnings with weights, exception phrases (first word, second word), and the curve."""
 
     weights: dict[str, float]
-    exceptions: set[tuple] = field(default_factory=set)
+    exceptions: set[tuple[str, str]] = field(default_factory=lambda: set(PHRASES))
     slope: float = 1.0
     bias: float = -3.0
 
-    def automaton(self):
-        if "_auto" not in self.__dict__:
+    def automaton(self, ascii_only: bool):
+        name = f"_auto{ascii_only}"
+        if name not in self.__dict__:
             auto = ahocorasick.Automaton()
             for entry, weight in self.weights.items():
-                auto.add_word(" " + entry, (entry, weight))
-            if self.weights:
+                if entry.isascii() or not ascii_only:
+                    auto.add_word(" " + entry, (entry, weight))
+            if len(auto):
                 auto.make_automaton()
-            self.__dict__["_auto"] = auto
-        return self.__dict__["_auto"]
+            self.__dict__[name] = auto
+        return self.__dict__[name]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_auto"}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_auto")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
 
-    def matches(self, folded: str) -> dict[int, tuple[str, float]]:
-        """The heaviest entry by the place of its word's space."""
+    def _found(self, text: str, ascii_only: bool) -> dict[int, tuple[str, float]]:
+        """The heaviest entry by the place of its word's space in ``text``."""
         found: dict[int, tuple[str, float]] = {}
-        if self.weights and folded:
-            for end, (entry, weight) in self.automaton().iter(folded):
+        auto = self.automaton(ascii_only)
+        if len(auto) and text:
+            for end, (entry, weight) in auto.iter(text):
                 at = end - len(entry)
                 if at not in found or weight > found[at][1]:
                     found[at] = (entry, weight)
         return found
 
+    def matches(self, folded: str) -> dict[int, tuple[str, float, tuple[str, str, str]]]:
+        """By word number: the heaviest entry, its weight, and the words before, at and after it; without cancelled ones."""
+        forms = [(folded, False)] + ([] if folded.isascii() else [(plain(folded), True)])
+        out: dict = {}
+        for text, ascii_only in forms:
+            number, last = 0, 0
+            for at, (entry, weight) in sorted(self._found(text, ascii_only).items()):
+                number, last = number + text.count(" ", last, at), at
+                context = _context(text, at)
+                if (number not in out or weight > out[number][1]) and not self._excepted(context):
+                    out[number] = (entry, weight, context)
+        return out
+
+    def _excepted(self, context: tuple[str, str, str]) -> bool:
+        before, word, after = context
+        return (before, word) in self.exceptions or (word, after) in self.exceptions
+
     def density(self, folded: str) -> tuple[float, int, int]:
-        """Weight per hundred words, matches that count, words."""
-        words = folded.count(" ")
-        total, count = 0.0, 0
-        for at, (entry, weight) in self.matches(folded).items():
-            if self.exceptions and any((c in self.exceptions) for c in contexts(folded, at, entry)):
-                continue
-            total, count = total + weight, count + 1
-        return math.log1p(100.0 * total / (words + 20)), count, words
+        """Logarithm of the weight per hundred words, matches that count, words."""
+        words, found = folded.count(" "), self.matches(folded)
+        return math.log1p(100.0 * sum(w for _, w, _ in found.values()) / (words + 20)), len(found), words
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         x, count, words = self.density(fold(text))
         return 1.0 / (1.0 + math.exp(-(self.slope * x + self.bias))), count, words
 
 
-def contexts(folded: str, at: int, entry: str) -> tuple[tuple, tuple]:
-    """The entry with the word before it and with the word after it."""
-    before = folded[folded.rfind(" ", 0, at) + 1 : at] if at > 0 else ""
-    end = folded.find(" ", at + 1)
-    after = "" if end < 0 else folded[end + 1 : stop if (stop := folded.find(" ", end + 1)) >= 0 else len(folded)]
-    return (before, entry, None), (None, entry, after)
-
-
-def _prefixes(word: str) -> set[str]:
-    return {word[:k] for k in range(MIN_PREFIX, min(len(word), MAX_PREFIX) + 1)} | {word}
-
-
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of every word beginning by label; the empty term counts all words. One table per task of the bounded sample."""
-    words = {0: Counter(), 1: Counter()}
-    for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words[label].update(fold(text.as_py()).split())
-    for label, counted in words.items():
-        terms: Counter = Counter({"": sum(counted.values())})
-        for word, n in counted.items():
-            if len(word) >= MIN_PREFIX - 1:
-                for term in _prefixes(word):
-                    terms[term] += n
-        names, n = list(terms), list(terms.values())
-        none = [0] * len(n)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n if label else none, pa.int64()), pa.array(none if label else n, pa.int64())], names=["term", "toxic", "clean"])
-
-
-def _incidence(candidates: dict[str, float]):
-    probe = Lexicon(candidates)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, found, near = [], [], []
-            for text in batch.column(0):
-                folded = fold(text.as_py())
-                entries, phrases = Counter(), set()
-                if folded:
-                    for end, (entry, _) in probe.automaton().iter(folded):
-                        entries[entry] += 1
-                        phrases.update("\t".join("" if p is None else "\n" + p for p in c) for c in contexts(folded, end - len(entry), entry))
-                size.append(folded.count(" "))
-                found.append(sorted(entries.items()))
-                near.append(sorted(phrases))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(size, pa.int64()), pa.array(found, pa.map_(pa.string(), pa.int64())), pa.array(near, pa.list_(pa.string()))], names=["label", "words", "entries", "phrases"])
-
-    return run
-
-
-def _greedy(rows: list[tuple[int, int, dict[str, int]]], weights: dict[str, float]) -> list[str]:
-    """Entries that cover the toxic documents; what each adds must outweigh the clean documents it touches."""
-    where: dict[str, list[int]] = {}
+def _context(text: str, at: int) -> tuple[str, str, str]:
+    """The words before, at and after the space at ``at``."""
+    end = text.find(" ", at + 1)
+    stop = text.find(" ", end + 1) if end >= 0 else -1
+    before = text[text.rfind(" ", 0, at) + 1 : at] if at > 0 else ""
+    return before, text[at + 1 : end if end >= 0 else len(text)], "" if end < 0 else text[end + 1 : stop if stop >= 0 else len(text)]
+
+
+def _beginnings(word: str) -> list[str]:
+    return [word[:k] for k in range(MIN_PREFIX, min(len(word), MAX_PREFIX) + 1)]
+
+
+def _candidates(toxic: list[Counter], clean: list[Counter]) -> dict[str, float]:
+    """Weights of the beginnings that qualify; the texts are given as word counts."""
+    support: Counter = Counter()
+    for words in toxic:
+        support.update({b for w in words for b in _beginnings(w)})
+    kept = {b: n for b, n in support.items() if n >= MIN_SUPPORT}
+    longer: dict[str, int] = {}
+    for b, n in kept.items():
+        longer[b[:-1]] = max(longer.get(b[:-1], 0), n)
+    kept = {b for b, n in kept.items() if longer.get(b, 0) < n}
+    counts = []
+    for group in (toxic, clean):
+        total: Counter = Counter()
+        for words in group:
+            total.update(words)
+        found: Counter = Counter()
+        for w, n in total.items():
+            for b in _beginnings(w):
+                if b in kept:
+                    found[b] += n
+        counts.append((found, sum(total.values())))
+    (t, all_t), (c, all_c) = counts
+    weights = {b: math.log((t[b] + 0.5) / (all_t + 1)) - math.log((c[b] + 0.5) / (all_c + 1)) for b in kept}
+    return {b: min(w, MAX_WEIGHT) for b, w in weights.items() if w >= MIN_WEIGHT}
+
+
+def choose(toxic: list[Counter], clean: list[Counter]) -> dict[str, float]:
+    """The chosen entries and their weights; what each adds must outweigh the clean documents it touches."""
+    weights = _candidates(toxic, clean)
+    where: dict[str, dict[int, set[str]]] = {}  # entry: toxic document: words it matches there
+    for k, words in enumerate(toxic):
+        for w in words:
+            for b in _beginnings(w):
+                if b in weights:
+                    where.setdefault(b, {}).setdefault(k, set()).add(w)
     against: Counter = Counter()
-    for k, (label, words, entries) in enumerate(rows):
-        for e, n in entries.items():
-            if label:
-                where.setdefault(e, []).append(k)
-            else:
-                against[e] += min(1.0, 100.0 * n / (words + 20) / FULL_DENSITY)
-    worth, chosen = np.ones(len(rows)), []
-    places = {e: np.array(ks) for e, ks in where.items()}
-    while places and len(chosen) < MAX_ENTRIES:
-        gains = {e: worth[ks].sum() - CLEAN_PENALTY * against[e] for e, ks in places.items()}
-        best = max(gains, key=lambda e: (round(gains[e], 6), weights[e], len(e), e))
-        if gains[best] < MIN_GAIN:
+    for words in clean:
+        size, found = sum(words.values()), Counter()
+        for w, n in words.items():
+            for b in _beginnings(w):
+                if b in weights:
+                    found[b] += n
+        for b, n in found.items():
+            against[b] += min(1.0, 100.0 * n / (size + 20) / FULL_DENSITY)
+    worth, chosen = np.ones(len(toxic)), []
+    gains = {b: len(ks) - CLEAN_PENALTY * against[b] for b, ks in where.items()}
+    while gains:
+        # gains only fall, so an outdated best is brought up to date and looked at again
+        best = max(gains, key=lambda b: (round(gains[b], 6), weights[b], len(b), b))
+        now = sum(worth[k] for k in where[best]) - CLEAN_PENALTY * against[best]
+        if now < gains[best] - 1e-9:
+            gains[best] = now
+            continue
+        if now < MIN_GAIN:
             break
         chosen.append(best)
-        worth[places[best]] *= 0.5
-        places = {e: ks for e, ks in places.items() if not e.startswith(best)}
-    return chosen
+        worth[list(where[best])] *= 0.5
+        del gains[best]
+        for b in [b for b in gains if b.startswith(best)]:
+            del gains[b]
+        for b in _beginnings(best)[:-1]:  # what the entry matches is no evidence for a shorter one
+            if b in gains:
+                where[b] = {k: left for k, ws in where[b].items() if (left := {w for w in ws if not w.startswith(best)})}
+                gains[b] = min(gains[b], sum(worth[k] for k in where[b]) - CLEAN_PENALTY * against[b])
+    return {b: weights[b] for b in chosen}
+
+
+def _phrases(lexicon: Lexicon, toxic: list[str], clean: list[str]) -> set[tuple[str, str]]:
+    """Word pairs around the entries that several clean texts hold and no toxic one."""
+    def pairs(folded: str) -> set[tuple[str, str]]:
+        around = (context for _, _, context in lexicon.matches(folded).values())
+        return {p for before, word, after in around for p in ((before, word), (word, after)) if all(p)}
 
+    counted = Counter(p for t in clean for p in pairs(t))
+    harmless = {p for p, n in counted.items() if n >= MIN_PHRASE}
+    return harmless - {p for t in toxic for p in pairs(t)} if harmless else harmless
 
-def _curve(lexicon: Lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([lexicon.density(fold(t.as_py()))[0] for t in batch.column(0)], pa.float64())], names=["label", "x"])
 
-    return run
+def fit_texts(toxic: list[str], clean: list[str]) -> Lexicon:
+    """Learn from folded texts."""
+    if not toxic:
+        return Lexicon({})
+    lexicon = Lexicon(choose([Counter(t.split()) for t in toxic], [Counter(t.split()) for t in clean]))
+    lexicon.exceptions |= _phrases(lexicon, toxic, clean)
+    points = Counter((lexicon.density(t)[0], label) for label, texts in ((1, toxic), (0, clean)) for t in texts)
+    lexicon.slope, lexicon.bias = logistic([(x, y, n) for (x, y), n in points.items()])
+    return lexicon
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Lexicon:
+@F.arrow_udf(T.StringType())
+def _folded(texts: pa.Array) -> pa.Array:
+    return pa.array([fold(t.as_py()) for t in texts], type=pa.string())
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, max_chars: int = MAX_CHARS) -> Lexicon:
     """Learn from at most the sample sizes of labelled rows; rows with a NULL label are ignored."""
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col)]
-    ids: list = []
-    for label, size in ((1, sample_toxic), (0, sample_clean)):  # the sizes bound what is collected
-        ids += [r[0] for r in labelled.where(F.col(label_col) == label).select(id_col, label_col).orderBy(*order).limit(size).select(id_col).collect()]
-    sample = labelled.where(F.col(id_col).isin(ids) & F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("long").alias("label")).persist()
-    try:
-        terms = sample.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
-        totals = terms.where("term = ''").first()
-        if totals is None or not totals["toxic"]:
-            return Lexicon({})
-        weight = F.log((F.col("toxic") + 0.5) / (totals["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (totals["clean"] + 1))
-        rated = terms.where((F.col("toxic") >= MIN_SUPPORT) & (F.col("term") != "")).select("term", "toxic", weight.alias("w")).where(F.col("w") >= MIN_WEIGHT)
-        candidates = {r["term"]: min(r["w"], MAX_WEIGHT) for r in rated.orderBy(F.col("toxic").desc(), "term").limit(8 * MAX_ENTRIES).collect()}
-        terms.unpersist()
-        if not candidates:
-            return Lexicon({})
-        rows = sample.mapInArrow(_incidence(candidates), "label long, words long, entries map<string,long>, phrases array<string>").persist()
-        hits = [(r["label"], r["words"], r["entries"]) for r in rows.where(F.size("entries") > 0).select("label", "words", "entries").collect()]
-        weights = {e: candidates[e] for e in _greedy(hits, candidates)}
-        phrases = rows.select("label", F.explode("phrases").alias("p")).groupBy("p").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where("t = 0 AND c >= 3").orderBy(F.col("c").desc(), "p").limit(MAX_PHRASES).collect()
-        parsed = (tuple(p[1:] if p else None for p in r["p"].split("\t")) for r in phrases)
-        rows.unpersist()
-        lexicon = Lexicon(weights, {p for p in parsed if p[1] in weights})
-        points = sample.mapInArrow(_curve(lexicon), "label long, x double").groupBy("label", "x").agg(F.count("*").alias("n")).collect()
-        lexicon.slope, lexicon.bias = logistic([(r["x"], r["label"], r["n"]) for r in points])
-        return lexicon
-    finally:
-        sample.unpersist()
+    texts = []
+    for label, size in ((1, sample_toxic), (0, sample_clean)):
+        picked = F.when(column(label_col) == label, F.lit(label))
+        rows = sampled(labelled, id_col, text_col, picked, size, max_chars // 2, {"folded": _folded(F.col("text"))}, "toxicity-sample")
+        texts.append([r["folded"] for r in rows])
+        if not texts[0]:
+            break
+    return fit_texts(texts[0], texts[-1] if len(texts) > 1 else [])
 
 
 def logistic(points: list[tuple[float, int, int]], ridge: float = 1.0) -> tuple[float, float]:
@@ -261,5 +322,6 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.StructArray.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["score", "matches", "n_words"])
 
-    keep = [c for c in docs.columns if c not in ("score", "matches", "n_words")]
-    return docs.withColumn("__s", F.arrow_udf(run, kind)(F.col(text_col))).select(*keep, "__s.score", "__s.matches", "__s.n_words")
+    kept = [c for c in docs.columns if c not in ("score", "matches", "n_words")]
+    judged = docs.select(whole_row(docs).alias("row"), F.arrow_udf(run, kind)(column(text_col)).alias("s"))
+    return judged.select(*unwrapped("row", kept), "s.score", "s.matches", "s.n_words")
