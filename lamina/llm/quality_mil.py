@@ -7,13 +7,13 @@ passage the weight softmax(w . (tanh(V h) * sigmoid(U h))) within its document,
 the encodings is scored by a logistic unit. Only document labels are used; all weights are learned
 together by Adam on the log loss.
 
-The model is fitted on a bounded sample: at most ``SAMPLE`` labelled documents, those with the least hash of
-their id, and of each at most ``BAG`` evenly spaced passages (training only). Scoring reads every passage
-of every row and uses nothing but the text.
+The model is fitted on a bounded sample (:mod:`lamina.llm.samples`): at most ``SAMPLE`` labelled documents and ``SAMPLE_CHARS``
+characters, each document with all its passages. Scoring reads every passage of every row and uses nothing but
+the text.
 
 Defined results: NULL, empty and blank texts are one passage without words and get that passage's score;
-without labels every score is 0.5. Rows are scored one by one; an empty table gives an empty table. Input
-columns pass through; ``score`` and ``n_passages`` replace columns of those names.
+without labels of both kinds every score is 0.5. Rows are scored one by one; an empty table gives an empty table. Input
+columns pass through, whatever their names; ``score`` and ``n_passages`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PASSAGE_WORDS, SAMPLE, BAG, HIDDEN, ATTENTION, EPOCHS, SEED = 100, 6000, 64, 24, 12, 40, 11
+from lamina.llm.samples import sampled
+from lamina.llm.text_columns import column, unwrapped, whole_row
+
+PASSAGE_WORDS, SAMPLE, SAMPLE_CHARS, HIDDEN, ATTENTION, EPOCHS, SEED = 100, 6000, 64_000_000, 24, 12, 40, 11
 PUNCTUATION = ".,;:!?'\"()[]{}<>-_/\\|#*$%&=@+~^`"
 _STYLE = 8
 
@@ -154,23 +157,15 @@ def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
 
 @F.arrow_udf(T.BinaryType())
 def _bag(texts: pa.Array) -> pa.Array:
-    out = []
-    for t in texts:
-        rows = passages(t.as_py())
-        if len(rows) > BAG:
-            rows = rows[np.linspace(0, len(rows) - 1, BAG).astype(int)]
-        out.append(rows.astype("<f4").tobytes())
-    return pa.array(out, type=pa.binary())
+    return pa.array([passages(t.as_py()).astype("<f4").tobytes() for t in texts], type=pa.binary())
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most ``sample`` rows of ``labelled``; rows with a NULL label are ignored."""
-    rows = labelled.where(F.col(label_col).isin(0, 1))
-    ids = [r[0] for r in rows.select(id_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample).collect()]
-    picked = rows.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"), _bag(F.col(text_col)).alias("bag"))
-    got = sorted(picked.limit(sample).collect(), key=lambda r: (r["id"], r["y"]))
-    bags = [np.frombuffer(r["bag"], dtype="<f4").reshape(-1, FEATURES) for r in got]
-    return fit_arrays(bags, np.array([r["y"] for r in got]))
+    label = F.when(column(label_col).isin(0, 1), column(label_col).cast("double"))
+    rows = sampled(labelled, id_col, text_col, label, sample, max_chars, {"bag": _bag(F.col("text"))}, "quality-sample")
+    bags = [np.frombuffer(r["bag"], dtype="<f4").reshape(-1, FEATURES) for r in rows]
+    return fit_arrays(bags, np.array([r["label"] for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -187,5 +182,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         arrays = [pa.array(np.concatenate(x) if x else [], type=k) for x, k in ((scores, pa.float64()), (sizes, pa.int64()))]
         return pa.StructArray.from_arrays(arrays, names=["score", "n_passages"])
 
-    keep = [c for c in docs.columns if c not in ("score", "n_passages")]
-    return docs.withColumn("__q", F.arrow_udf(run, kind)(F.col(text_col))).select(*keep, "__q.score", "__q.n_passages")
+    kept = [c for c in docs.columns if c not in ("score", "n_passages")]
+    judged = docs.select(whole_row(docs).alias("row"), F.arrow_udf(run, kind)(column(text_col)).alias("q"))
+    return judged.select(*unwrapped("row", kept), "q.score", "q.n_passages")
