@@ -6,7 +6,7 @@ is shuffled. All comparisons are on integers, so any SQL engine gives the same v
 
 Defined results: NULL and blank texts have no words, so every metric is 0 and ``base_failed`` is true.
 Rows are judged one by one: repeated rows get equal verdicts, an empty table an empty result. Input
-columns pass through; a computed column replaces an input column of the same name.
+columns pass through, whatever their names; a computed column replaces an input column of the same name.
 
 Windows of three words are compared by a 64-bit hash within one text (about n^2/2^65 chance of a false
 repeat in a text of n words).
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.text_columns import let, lines_with_words, words
+from lamina.llm.text_columns import column, let, lines_with_words, unwrapped, whole_row, words
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -95,24 +95,24 @@ def _repeat_words(windows: Column) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with all metrics; the text is split into words and into lines once each."""
     stop = _any_case(STOP_WORDS)
-    parts = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
-    parts = parts.withColumns({"__w": words(F.col("__t")), "__l": lines_with_words(F.col("__t"))})
-    parts = parts.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
-    parts = parts.withColumn("__v", F.transform(F.slice("__h", 3, F.size("__h")), lambda h, i: F.xxhash64(F.get("__h", i), F.get("__h", i + 1), h)))
+    parts = docs.select(whole_row(docs).alias("row"), F.coalesce(column(text_col), F.lit("")).alias("t"))
+    parts = parts.withColumns({"w": words(F.col("t")), "l": lines_with_words(F.col("t"))})
+    parts = parts.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    parts = parts.withColumn("v", F.transform(F.slice("h", 3, F.size("h")), lambda h, i: F.xxhash64(F.get("h", i), F.get("h", i + 1), h)))
     metrics = {
-        "n_words": F.size("__w"),
-        "word_chars": F.length(F.array_join("__w", "")),
-        "n_symbols": F.octet_length("__t") - F.octet_length(F.regexp_replace("__t", SYMBOLS, "")),
-        "n_bangs": F.octet_length("__t") - F.octet_length(F.replace(F.col("__t"), F.lit("!"), F.lit(""))),
-        "n_stop_words": F.size(F.filter("__w", lambda w: w.isin(stop))),
-        "n_lines": F.size("__l"),
-        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
-        "n_bullet_lines": F.size(F.filter("__l", lambda x: x.startswith("-") | x.startswith("*") | x.startswith("•"))),
-        "n_ellipsis_lines": F.size(F.filter("__l", lambda x: x.endswith("...") | x.endswith("…"))),
-        "n_repeat_words": _repeat_words(F.col("__v")),
+        "n_words": F.size("w"),
+        "word_chars": F.length(F.array_join("w", "")),
+        "n_symbols": F.octet_length("t") - F.octet_length(F.regexp_replace("t", SYMBOLS, "")),
+        "n_bangs": F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit("!"), F.lit(""))),
+        "n_stop_words": F.size(F.filter("w", lambda w: w.isin(stop))),
+        "n_lines": F.size("l"),
+        "n_dup_lines": F.size("l") - F.size(F.array_distinct("l")),
+        "n_bullet_lines": F.size(F.filter("l", lambda x: x.startswith("-") | x.startswith("*") | x.startswith("•"))),
+        "n_ellipsis_lines": F.size(F.filter("l", lambda x: x.endswith("...") | x.endswith("…"))),
+        "n_repeat_words": _repeat_words(F.col("v")),
     }
-    keep = [F.col(c) for c in docs.columns if c not in metrics]
-    return parts.select(*keep, *[v.cast("long").alias(k) for k, v in metrics.items()])
+    kept = [c for c in docs.columns if c not in metrics]
+    return parts.select(*unwrapped("row", kept), *[v.cast("long").alias(k) for k, v in metrics.items()])
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
