@@ -4,10 +4,11 @@ Reading follows the RIFF structure: headers give the frame rate, the ``idx1`` in
 walk over the ``movi`` list) gives the frames, and :mod:`lamina.llm.jpeg` decodes them. A shot starts where
 the histogram difference to the frame before exceeds both a floor and the mean plus ``SIGMAS`` standard
 deviations of the differences so far in the shot (last ``MEMORY`` of them). :func:`clips` yields one row per
-shot with its times.
+shot with its times; the feature string of :func:`media_features` lists the same clips as
+``first-last@start-end`` (frames, seconds).
 
 Writing stores any bytes without loss as 8-bit grey samples, one byte a sample, in frames 64 samples wide and
-at most 64 high; a short last frame is filled up with zeros and the length is kept in the stream's ``strd``
+at most ``HEIGHT`` high; a short last frame is filled up with zeros and the length is kept in the stream's ``strd``
 chunk.
 
 Defined results: NULL media give NULL, damaged media give NULL features and no clips; NULL and empty texts
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from lamina.llm import jpeg
 
-WIDTH, HEIGHT, RATE, UNIT = 64, 64, 25, 64
+WIDTH, HEIGHT, RATE, UNIT = 64, 16, 25, 64
 BINS, FLOOR, SIGMAS, MEMORY = 16, 0.25, 3.0, 12
 
 
@@ -173,8 +174,9 @@ def features(media: bytes | None) -> tuple | None:
         return None
     payload = payload_of(video, frames)
     cut = shots(frames)
+    timed = ",".join(f"{a}-{b}@{a / video.rate:.2f}-{(b + 1) / video.rate:.2f}" for a, b in cut)
     mean = sum(int(f.sum(dtype=np.int64)) for f in frames) / max(sum(f.size for f in frames), 1)
-    text = f"frames={len(frames)};shots={len(cut)};mean={mean:.3f};clips=" + ",".join(f"{a}-{b}" for a, b in cut)
+    text = f"frames={len(frames)};shots={len(cut)};mean={mean:.3f};clips={timed}"
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text
 
 

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
