@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lamina.llm import langid, packing, queries
+from lamina.llm import langid, packing, quality_mil, queries, toxicity
 from tests.llm.test_small import slow_lines
 from tests.oracle import SMALL, connect, same
 
@@ -59,8 +60,14 @@ def test_simhash(spark, docs):
     assert got == slow_components([(d["doc_id"], d["text"]) for d in docs])
 
 
+_PLAIN = []
+
+
 def tokens(text):
-    return np.array(packing.encoder(packing.default_tokenizer())(text or "") + [packing.END_ID], dtype="<u4")
+    """Ids by ``tokenizers`` alone."""
+    if not _PLAIN:
+        _PLAIN.append(Tokenizer.from_file(packing.default_tokenizer()))
+    return np.array(_PLAIN[0].encode(text or "", add_special_tokens=False).ids + [packing.END_ID], dtype="<u4")
 
 
 def check_pieces(rows, copies):
@@ -123,7 +130,7 @@ def test_models_on_held_out_documents(spark, docs):
 
 
 def slow_mixing(rows):
-    """Copies of each row (doc_id, text, source) by the documented rules, for sources of one bucket."""
+    """Copies of each row (doc_id, text, source) by the documented rules."""
     size = {k: len(WORD.findall(t or "")) for k, (_, t, _) in enumerate(rows)}
     sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
     own = {s: sum(size[k] for k, r in enumerate(rows) if r[2] == s) for s in sources}
@@ -136,21 +143,104 @@ def slow_mixing(rows):
             break
         target |= {s: 3.0 * own[s] for s in over}
         free -= over
-    target |= {s: weight[s] * level for s in free}
+    left = total - sum(int(target[s]) for s in sources if s not in free)
+    target |= {s: float(weight[s] * left) / float(sum(weight[s] for s in free)) for s in free}
     copies = {}
     for s in sources:
-        rate = min(target[s] / own[s], 3.0) if own[s] else 0.0
         u = int(hashlib.md5(f"mix-1:{s or ''}".encode()).hexdigest()[:8], 16) / 4294967296.0
-        mine = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (math.floor(math.log2(size[k] + 1)), size[k], rows[k][0]))
-        options = []
-        for j in range(32):
-            v = (u + j / 32) % 1.0
-            got = [math.floor((n + 1) * rate + v) - math.floor(n * rate + v) for n in range(len(mine))]
-            options.append((abs(sum(c * size[k] for c, k in zip(got, mine, strict=True)) - target[s]), j, got))
-        copies |= dict(zip(mine, min(options)[2], strict=True))
+        mine = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (-size[k], rows[k][0]))
+        large = [k for k in mine if size[k] * 20 > own[s]]
+        prefix, taken, seen = 0.0, 0, 0
+
+        def rate():
+            return min(max((target[s] - taken) / (own[s] - seen), 0.0), 3.0) if own[s] > seen else min(target[s] / own[s], 3.0) if own[s] else 0.0  # noqa: B023
+
+        for k in large:
+            after = prefix + rate()
+            copies[k] = math.floor(after + u) - math.floor(prefix + u)
+            prefix, taken, seen = after, taken + copies[k] * size[k], seen + size[k]
+        rest = rate()
+        copies |= {k: math.floor(prefix + (n + 1) * rest + u) - math.floor(prefix + n * rest + u) for n, k in enumerate(mine[len(large) :])}
     return copies
 
 
+def test_mixing(spark, docs):
+    rows = [(d["doc_id"], d["text"], d["source"]) for d in docs]
+    copies = slow_mixing(rows)
+    got = {r["doc_id"]: r["taken"] for r in queries.op8_mixing(spark, SMALL).collect()}
+    assert got == {r[0]: copies[k] * len(WORD.findall(r[1] or "")) for k, r in enumerate(rows)}
+
+
+def test_language_against_plain_cosines(spark, docs):
+    """Every prediction of the query from n-gram counts taken one by one and a loop over the centroids."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(table.where(langid.remainder("doc_id", 4) != 2))
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, SMALL).collect()}
+
+    def place(gram, salt):
+        code = 0
+        for k, c in enumerate(reversed(gram)):
+            code ^= ord(c) * (2654435761, 2246822519, 3266489917)[k] & 0xFFFFFFFF
+        return ((code ^ salt) * 0x27D4EB2F & 0xFFFFFFFF) >> 15 & langid.DIMS - 1
+
+    for d in docs[:60]:
+        letters = "  " + "".join(c.lower() if c.isalpha() else " " for c in d["text"])
+        letters = letters[:2] + "".join(b for a, b in zip(letters[1:], letters[2:], strict=False) if (a, b) != (" ", " "))
+        counts = Counter()
+        for n, salt in ((1, 0), (2, 0x9E3779B9), (3, 0x85EBCA6B)):
+            counts.update(place(letters[k - n + 1 : k + 1], salt) for k in range(2, len(letters)))
+        if not letters.strip():
+            assert got[d["doc_id"]]["lang_pred"] == "und"
+            continue
+        weight = {p: math.log1p(n) * float(model.idf[p]) for p, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        cosines = [sum(w * float(c[p]) for p, w in weight.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert got[d["doc_id"]]["lang_pred"] == model.languages[best]
+        assert got[d["doc_id"]]["score"] == pytest.approx(cosines[best], abs=0.02)
+
+
+def test_toxicity_against_a_naive_scan(spark, docs):
+    """Every score of the query from its lexicon, word by word and entry by entry."""
+    lexicon = toxicity.fit(queries._labelled(spark, SMALL, "toxic", 5, 0))
+    assert lexicon.weights
+    got = {r["doc_id"]: r for r in queries.op4_toxicity(spark, SMALL).collect()}
+    for d in docs:
+        words = toxicity.fold(d["text"]).split()
+        plain = [toxicity.plain(w) for w in words]
+        total = count = 0
+        for k in range(len(words)):
+            best = 0.0
+            for form in (words, plain):
+                before, after = form[k - 1] if k else "", form[k + 1] if k + 1 < len(words) else ""
+                for entry, weight in lexicon.weights.items():
+                    usable = form is words or entry.isascii()
+                    if usable and form[k].startswith(entry) and (before, form[k]) not in lexicon.exceptions and (form[k], after) not in lexicon.exceptions:
+                        best = max(best, weight)
+            total, count = total + best, count + (best > 0)
+        x = math.log1p(100 * total / (len(words) + 20))
+        r = got[d["doc_id"]]
+        assert r["matches"] == count and r["score"] == pytest.approx(1 / (1 + math.exp(-(lexicon.slope * x + lexicon.bias))))
+
+
+def test_quality_against_looped_attention(spark, docs):
+    """Every score of the query, document by document and passage by passage."""
+    model = quality_mil.fit(queries._labelled(spark, SMALL, "quality", 4, 2))
+    p = {k: v.astype(float) for k, v in model.weights.items()}
+    got = {r["doc_id"]: r for r in queries.op5_quality_mil(spark, SMALL).collect()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for d in docs:
+        parts = (d["text"] or "").split()
+        assert got[d["doc_id"]]["n_passages"] == max(1, -(-len(parts) // 100))
+        hidden, weights = [], []
+        for row in quality_mil.passages(d["text"]):
+            h = np.tanh(np.clip((row - model.mean) / model.scale, -5, 5) @ p["W"] + p["b"])
+            hidden.append(h)
+            weights.append(math.exp(float((np.tanh(h @ p["V"]) * sigmoid(h @ p["U"])) @ p["w"])))
+        pooled = sum(w * h for w, h in zip(weights, hidden, strict=True)) / sum(weights)
+        assert got[d["doc_id"]]["score"] == pytest.approx(float(sigmoid(pooled @ p["c"] + p["d"])), abs=1e-4)
+
+
 def test_pipeline(spark, docs):
     model = langid.fit(spark.read.parquet(f"{SMALL}/documents.parquet").where(langid.remainder("doc_id", 4) != 2))
     rows = [(d["doc_id"], d["text"], d["source"]) for d in docs if not model.predict([d["text"]])[0][2]]

@@ -1,5 +1,6 @@
 """Nulls, empty and repeated rows, empty tables and clashing columns for every operator, on tiny tables."""
 
+import math
 import zlib
 from collections import defaultdict
 
@@ -72,7 +73,8 @@ def test_packer_fills_windows():
     packer = packing.Packer(out.append, length=64, open_windows=4, max_waste=2)
     sizes = rng.integers(1, 150, 500)
     for doc, n in enumerate(sizes):
-        packer.add(doc, np.arange(n, dtype="<u4"))
+        for _ in packer.add(doc, np.arange(n, dtype="<u4")):
+            pass
         assert len(packer.windows) <= 4
     used = [sum(len(p[2]) for p in w) for w in out]
     assert min(used) >= 62 and max(used) == 64
@@ -218,17 +220,42 @@ def test_mixing(spark, docs, none):
     assert mixing.count_copies(none).count() == 0 and mixing.mix(none).count() == 0
 
 
-def test_mixing_meets_targets_in_any_number_of_buckets(spark):
+def test_mixing_does_not_depend_on_parts(spark):
     rows = [(k, "w " * (1 + (k * 7919) % 97), f"s{k % 4}" if k % 2 else "big") for k in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for per in (200_000, 100):
-        first = sorted(mixing.count_copies(df, rows_per_bucket=per).select("doc_id", "copies").collect())
-        assert first == sorted(mixing.count_copies(df.repartition(7), rows_per_bucket=per).select("doc_id", "copies").collect())
-        taken, target = defaultdict(int), {}
-        for r in mixing.count_copies(df, rows_per_bucket=per).collect():
-            taken[r["source"]] += r["copies"] * r["size"]
-            target[r["source"]] = r["target"]
-        assert all(taken[s] == pytest.approx(target[s], rel=0.05) for s in target)
+    seen = []
+    for parts in (1, 3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            seen.append(sorted(mixing.count_copies(df.repartition(7), keep=["doc_id"]).select("doc_id", "copies").collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert seen[0] == seen[1] == seen[2]
+    taken, target = defaultdict(int), {}
+    for r in mixing.count_copies(df).collect():
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+    assert all(taken[s] == pytest.approx(target[s], rel=0.02) for s in target)
+    mixed = {(r["doc_id"]): r["n"] for r in mixing.mix(df).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert mixed == {k: n for k, n in seen[0] if n}
+
+
+def test_mixing_rates():
+    sizes, source, target = [90, 40, 30], 1000, 700.0  # three large documents, then documents of one word
+    took, ends = [], []
+    for u in np.linspace(0, 1, 200, endpoint=False):
+        copies, prefix, rate = mixing.fold_large(sizes, source, target, float(u))
+        rest = [math.floor(prefix + (k + 1) * rate + u) - math.floor(prefix + k * rate + u) for k in range(source - sum(sizes))]
+        assert {*copies, *rest} <= {0, 1}
+        took.append(sum(c * s for c, s in zip(copies, sizes, strict=True)) + sum(rest))
+        ends.append(copies[0])
+    assert max(abs(t - target) for t in took) <= 2 and np.mean(ends) == pytest.approx(0.7, abs=0.01)
+    # without large documents every document is taken at exactly the plain rate
+    _, prefix, rate = mixing.fold_large([], 500, 700.0, 0.3)
+    assert (prefix, rate) == (0.0, 1.4)
+    mean = np.mean([[math.floor((k + 1) * rate + u) - math.floor(k * rate + u) for k in range(500)] for u in np.linspace(0, 1, 500, endpoint=False)], axis=0)
+    assert np.abs(mean - 1.4).max() < 0.01
+    assert mixing.fold_large([], 0, 0.0, 0.5) == ([], 0.0, 0.0)
 
 
 def test_language_id(spark, docs, none):
@@ -293,7 +320,7 @@ def test_toxicity(spark, docs, none):
 
 
 def test_toxicity_exceptions_cancel():
-    lexicon = toxicity.Lexicon({"clown": 5.0}, {(None, "clown", "fish")})
+    lexicon = toxicity.Lexicon({"clown": 5.0}, {("clown", "fish")})
     assert lexicon.density(toxicity.fold("a clown fish swims"))[1] == 0
     assert lexicon.density(toxicity.fold("a clown walks"))[1] == 1
     assert lexicon.density(toxicity.fold("clown"))[1] == 1 and lexicon.density(toxicity.fold("uptownclown"))[1] == 0
@@ -362,6 +389,14 @@ def test_host_paths_win_over_a_page_of_its_own(spark):
     assert got[9] == "Brief." and got[0].startswith("The article text of page 0")
 
 
+def test_clip_times(spark):
+    dark, light = b"\x10" * 64 * avi.HEIGHT * 5, b"\xf0" * 64 * avi.HEIGHT * 2
+    media = spark.createDataFrame([(7, bytearray(avi.write_avi(dark + light)))], "id long, media binary")
+    rows = [(r["clip"], r["first_frame"], r["last_frame"], r["start_s"], r["end_s"]) for r in avi.clips(media, "id", "media").collect()]
+    assert rows == [(0, 0, 4, 0.0, 0.2), (1, 5, 6, 0.2, 0.28)]
+    assert media.select(avi.media_features(F.col("media"))["feature"]).first()[0].endswith("clips=0-4@0.00-0.20,5-6@0.20-0.28")
+
+
 def test_media(spark, docs, none):
     stored = docs.withColumn("media", avi.media_column(F.col("text")))
     rows = stored.select("doc_id", "text", "media", avi.media_features(F.col("media")).alias("f")).collect()
