@@ -33,7 +33,7 @@ def overlap_pairs(zones: DataFrame, ranges: DataFrame) -> DataFrame:
 def block_index(df: DataFrame, every: int, run: str = "src") -> DataFrame:
     """First key of every ``every``-th distinct key of a run, numbered: a sparse index of its blocks."""
     keys = df.select(F.col(run).alias("run_id"), "key").distinct()
-    numbered = running_sum(keys, ["run_id"], ["key"], F.lit(1), "n").withColumn("n", F.col("n") - 1)
+    numbered = running_sum(keys.withColumn("one", F.lit(1)), ["run_id"], ["key"], "one", "n").withColumn("n", F.col("n") - 1)
     return numbered.where(F.col("n") % every == 0).select("run_id", (F.col("n") / every).cast("long").alias("block_no"), F.col("key").alias("start_key"))
 
 
