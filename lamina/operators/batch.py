@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.functions.keys import entry_size
-from lamina.operators.along import running_sum
 from lamina.schema import DELETE, PUT, SCHEMA
 
 
@@ -96,7 +98,31 @@ def size_in_bytes(entries: DataFrame, *by: str) -> DataFrame:
 
 
 def fill_levels(entries: DataFrame, budget: int, by: tuple[str, ...] = ("src",)) -> DataFrame:
-    """Bytes held after each entry in write order, and the number of budgets filled before it."""
-    size = entry_size(F.col("key"), F.col("value"))
-    held = running_sum(entries.withColumn("entry_bytes", size), list(by), ["seq", "key", "ts"], F.col("entry_bytes"), "held")
-    return held.withColumn("flush_no", F.floor((F.col("held") - F.col("entry_bytes")) / budget).cast("long"))
+    """Levels of at most ``budget`` bytes that entries fill in write order (seq, key, ts): ``entry_bytes``, ``held``, ``flush_no``.
+
+    An entry goes into the current level if what is held and the entry's bytes fit the budget, else it opens the
+    next one; a version written again counts only the difference of its values. An entry beyond the budget has a level of its own.
+    The rule is a fold along each group: a group is one task, streamed, with the keys of one level in memory.
+    """
+    names = [*by, "key", "ts", "entry_bytes"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, level, held, sizes = None, 0, 0, {}
+        for batch in batches:
+            helds, levels = [], []
+            for *now, key, ts, size in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if now != group:
+                    group, level, held, sizes = now, 0, 0, {}
+                delta = size - sizes.get((key, ts), 0)
+                if sizes and held + delta > budget:
+                    level, held, sizes, delta = level + 1, 0, {}, size
+                held += delta
+                sizes[key, ts] = size
+                helds.append(held)
+                levels.append(level)
+            added = [pa.array(helds, pa.int64()), pa.array(levels, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "held", "flush_no"])
+
+    sized = entries.withColumn("entry_bytes", entry_size(F.col("key"), F.col("value")))
+    schema = T.StructType([*sized.schema.fields, T.StructField("held", T.LongType()), T.StructField("flush_no", T.LongType())])
+    return sized.repartition(*by).sortWithinPartitions(*by, "seq", "key", "ts").mapInArrow(fold, schema)
