@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -10,7 +14,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
+        self._jvm, self._gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
 
@@ -41,15 +45,38 @@ class Store:
         finally:
             stream.close()
 
-    def create_text(self, name: str, text: str) -> None:
-        """Publish a new file at once by renaming; FileExistsError if the name is taken."""
-        draft = self._path(f"{name}.draft")
-        stream = self._fs.create(draft, True)
+    def write_text(self, name: str, text: str) -> None:
+        stream = self._fs.create(self._path(name), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self._fs.exists(self._path(name)) or not self._fs.rename(draft, self._path(name)):
-            self._fs.delete(draft, False)
-            raise FileExistsError(name)
+
+    def create_text(self, name: str, text: str) -> None:
+        """Publish a new file whole or not at all; of several writers of one name one wins, the others get FileExistsError.
+
+        The text goes to a draft of its own name first. In a local file system, where renaming replaces, a hard
+        link claims the name; elsewhere a rename that refuses to replace, which HDFS does in one step. A store
+        without such a rename (an object store) needs one writer.
+        """
+        draft = f".{name}.{uuid.uuid4().hex}.draft"
+        self.write_text(draft, text)
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(self._path(draft).toUri().getPath(), self._path(name).toUri().getPath())
+            else:
+                self._rename(draft, name)
+        finally:
+            self._fs.delete(self._path(draft), False)
+
+    def _rename(self, old: str, new: str) -> None:
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self._conf).rename(self._path(old), self._path(new), options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                raise FileExistsError(new) from error
+            raise
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

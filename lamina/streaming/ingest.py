@@ -11,12 +11,12 @@ from lamina.plans.table import VersionedTable
 def ingest(mutations: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
     """Commit what the stream ``(key, kind, value, seq)`` holds, then stop.
 
-    A micro-batch that is retried after a failure is committed again under a later version: every read from
-    that version on sees the same values, and reads as of the earlier version are not disturbed.
+    The log keeps the micro-batch number with the rows, so a micro-batch that is retried after a failure is
+    committed once. The checkpoint's path names the stream.
     """
 
     def commit(rows: DataFrame, epoch: int) -> None:
         if not rows.isEmpty():
-            table.commit(rows)
+            table.commit(rows, stream=checkpoint, epoch=epoch)
 
     return mutations.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
