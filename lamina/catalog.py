@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from lamina.functions import bloom
 from lamina.functions import keys as K
 from lamina.operators import batch, merge, runs_meta
+from lamina.plans.table import VersionedTable
 from lamina.schema import DELETE, is_tombstone
 from lamina.scratch import materialize, scratch_path
+from lamina.sources import binary
+from lamina.streaming.ingest import ingest
 from lamina.streaming.latest import start_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,8 +283,11 @@ def memtable_size(spark, sf_dir):
 
 
 @query(
-    """SELECT key, ts, src, entry_bytes, held, cast(floor((held - entry_bytes) / 65536.0) AS bigint) AS flush_no FROM (SELECT *, cast(sum(entry_bytes) OVER
-    (PARTITION BY src ORDER BY seq, key, ts ROWS UNBOUNDED PRECEDING) AS bigint) AS held FROM (SELECT *, cast(strlen(key) + 8 + coalesce(strlen(value), 0) AS bigint) AS entry_bytes FROM ke))"""
+    f"""WITH RECURSIVE ke AS ({KE}), n AS (SELECT key, ts, src, cast(strlen(key) + 8 + coalesce(strlen(value), 0) AS bigint) AS entry_bytes, row_number() OVER (PARTITION BY src ORDER BY seq, key, ts) AS rn FROM ke),
+    f AS (SELECT key, ts, src, entry_bytes, rn, entry_bytes AS held, cast(0 AS bigint) AS flush_no FROM n WHERE rn = 1
+      UNION ALL SELECT n.key, n.ts, n.src, n.entry_bytes, n.rn, CASE WHEN f.held + n.entry_bytes > 65536 THEN n.entry_bytes ELSE f.held + n.entry_bytes END, CASE WHEN f.held + n.entry_bytes > 65536 THEN f.flush_no + 1 ELSE f.flush_no END
+      FROM f JOIN n ON n.src = f.src AND n.rn = f.rn + 1)
+    SELECT key, ts, src, entry_bytes, held, flush_no FROM f"""
 )
 def memtable_flush_points(spark, sf_dir):
     return batch.fill_levels(events_kv(spark, sf_dir), 65536).select("key", "ts", "src", "entry_bytes", "held", "flush_no")
@@ -384,6 +390,219 @@ def stream_latest(spark, sf_dir):
     return merge.latest(changes.select(*ROW))
 
 
+# The stored table: events committed in four batches, the first two flushed to one run, the third to another, the last in the log.
+
+_BATCHES, _FANOUT = 4, 19  # commits; keys of a user, so that most keys have a few versions
+_MUTATIONS = f"""muts AS (SELECT key || '#' || lpad(cast(ts % {_FANOUT} AS varchar), 2, '0') AS key, kind, CASE WHEN kind = 2 THEN NULL ELSE value END AS value, seq, cast(ts % {_BATCHES} + 1 AS bigint) AS ts FROM ke),
+  taken AS (SELECT *, row_number() OVER (PARTITION BY ts, key ORDER BY seq) AS nth FROM muts),
+  vt AS (SELECT key, ts, kind, value FROM (SELECT *, row_number() OVER (PARTITION BY ts, key ORDER BY seq DESC) AS rn FROM taken WHERE kind = 2 OR nth = 1) WHERE rn = 1),
+  logged AS (SELECT key, ts, kind, value, seq FROM taken WHERE kind = 2 OR nth = 1)"""
+_VT = f"{WITH}, {_MUTATIONS}"
+_BYTES = "cast(sum(strlen(key) + 8 + coalesce(strlen(value), 0)) AS bigint)"
+#: Parts of the stored table by version: run 1 has 1 and 2, run 2 has 3, the log has 4.
+_RUN_OF = "CASE WHEN ts <= 2 THEN 1 ELSE 2 END"
+
+
+def _mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kv = events_kv(spark, sf_dir)
+    key = F.concat("key", F.lit("#"), F.lpad((F.col("ts") % _FANOUT).cast("string"), 2, "0"))
+    return kv.select(key.cast("binary").alias("key"), F.col("kind").cast("byte"), F.col("value").cast("binary").alias("value"), "seq", (F.col("ts") % _BATCHES + 1).alias("no"))
+
+
+def _new_table(spark: SparkSession, sf_dir: str, flush_after: tuple[int, ...] = (2, 3)) -> VersionedTable:
+    table = VersionedTable(spark, scratch_path(spark, "table"))
+    mutations = _mutations(spark, sf_dir)
+    for no in range(1, _BATCHES + 1):
+        table.commit(mutations.where(F.col("no") == no).drop("no"))
+        if no in flush_after:
+            table.flush()
+    return table
+
+
+_TABLES: dict[tuple[str, str], VersionedTable] = {}
+
+
+def stored_table(spark: SparkSession, sf_dir: str) -> VersionedTable:
+    """One stored table for each application and folder; the reading queries share it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _TABLES:
+        _TABLES[at] = _new_table(spark, sf_dir)
+    return _TABLES[at]
+
+
+def _text(rows: DataFrame, *more: str) -> DataFrame:
+    """Versions with key and value as text, as the SQL has them."""
+    return rows.select(F.col("key").cast("string").alias("key"), "ts", F.col("kind").cast("int").alias("kind"), F.col("value").cast("string").alias("value"), *more)
+
+
+def _vt_sql(where: str = "TRUE", outer: str = "TRUE") -> str:
+    return f"{_VT} SELECT key, ts, kind, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS newest FROM vt WHERE {where}) WHERE newest = 1 AND {outer}"
+
+
+@query(_vt_sql(outer="kind = 1"))
+def table_snapshot(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _text(reader.snapshot())
+
+
+@query(_vt_sql("ts <= 2", "kind = 1"))
+def table_snapshot_asof(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _text(reader.snapshot(as_of=2))
+
+
+@query(_vt_sql(f"ts <= 3 AND key <= '{UPPER}'"))
+def table_snapshot_bounded_raw(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _text(reader.snapshot(as_of=3, upper_key=UPPER.encode(), raw=True))
+
+
+@query(f"{_VT} SELECT key, ts, kind, value FROM vt")
+def table_versions(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _text(reader.versions())
+
+
+@query(f"{_VT} SELECT key, ts, kind, value FROM vt WHERE key >= 'u000003#04' AND (key > 'u000003#04' OR ts >= 2) AND key <= 'u000009#07' AND (key < 'u000009#07' OR ts <= 3)")
+def table_scan(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _text(reader.scan(K.KeyRange(K.Key(b"u000003#04", 2), K.Key(b"u000009#07", 3))))
+
+
+@query(f"{_VT} SELECT key, ts, kind, value FROM vt WHERE key > 'u000010#11' OR (key = 'u000010#11' AND ts <= 3)")
+def table_seek(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _text(reader.seek(K.Key(b"u000010#11", 3)))
+
+
+_ASKED = [(f"u{k:06d}#{k + 4:02d}", ts) for k in (0, 3, 7, 11) for ts in (1, 3)]
+_ASKED_SQL = f"asked AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {ts})" for k, ts in _ASKED)}) x(key, asked_ts))"
+
+
+def _found(spark, rows) -> DataFrame:
+    kept = [(k, ts, r["ts"], bytes(r["value"]).decode()) for (k, ts), r in rows if r is not None]
+    return spark.createDataFrame(kept, "key string, asked_ts long, ts long, value string")
+
+
+@query(f"{_VT}, {_ASKED_SQL} SELECT a.key, cast(a.asked_ts AS bigint) AS asked_ts, v.ts, v.value FROM asked a JOIN vt v ON v.key = a.key AND v.ts = a.asked_ts WHERE v.kind = 1")
+def table_get(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _found(spark, [((k, ts), reader.get(k.encode(), ts)) for k, ts in _ASKED])
+
+
+@query(
+    f"""{_VT}, {_ASKED_SQL} SELECT key, asked_ts, ts, value FROM (SELECT a.key, cast(a.asked_ts AS bigint) AS asked_ts, v.ts, v.value, v.kind, row_number() OVER (PARTITION BY a.key, a.asked_ts ORDER BY v.ts DESC) AS rn
+    FROM asked a JOIN vt v ON v.key = a.key AND v.ts <= a.asked_ts) WHERE rn = 1 AND kind = 1"""
+)
+def table_get_asof(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _found(spark, [((k, ts), reader.get_asof(k.encode(), ts)) for k, ts in _ASKED])
+
+
+@query(f"{_VT} SELECT cast({_RUN_OF} AS bigint) AS run_id, hex(encode(min(key))) AS min_key, hex(encode(max(key))) AS max_key, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS rows, {_BYTES} AS bytes FROM vt WHERE ts <= 3 GROUP BY 1")
+def table_zones(spark, sf_dir):
+    zones = [(r.run_id, r.min_key.upper(), r.max_key.upper(), r.min_ts, r.max_ts, r.rows, r.bytes) for r in stored_table(spark, sf_dir).zones]
+    return spark.createDataFrame(zones, "run_id long, min_key string, max_key string, min_ts long, max_ts long, rows long, bytes long")
+
+
+@query(f"{_VT} SELECT key, ts, kind, value FROM vt WHERE ts <= 2 AND (key > 'u000005#05' OR (key = 'u000005#05' AND ts <= 1))")
+def run_seek(spark, sf_dir):
+    table = stored_table(spark, sf_dir)
+    return _text(table.runs.seek(next(r for r in table.zones if r.run_id == 1), K.Key(b"u000005#05", 1)))
+
+
+@query(
+    f"""{_VT} SELECT x.range_id, count(*) AS runs FROM (SELECT {_RUN_OF} AS run, min(key) AS lo_key, max(key) AS hi_key FROM vt WHERE ts <= 3 GROUP BY 1) z
+    JOIN (VALUES (1, 'a', 'b'), (2, 'u000001', 'u000002'), (3, 'u0', 'v'), (4, 'v', 'w')) x(range_id, lo, hi) ON z.hi_key >= x.lo AND z.lo_key <= x.hi GROUP BY 1"""
+)
+def run_prune(spark, sf_dir):
+    table, ranges = stored_table(spark, sf_dir), [(1, b"a", b"b"), (2, b"u000001", b"u000002"), (3, b"u0", b"v"), (4, b"v", b"w")]
+    counts = [(n, sum(r.may_overlap(K.KeyRange(K.Key(lo, 0), K.Key(hi, 9))) for r in table.zones)) for n, lo, hi in ranges]
+    return spark.createDataFrame([c for c in counts if c[1]], "range_id int, runs long")
+
+
+@query(_vt_sql(outer="kind = 1"))
+def table_compact(spark, sf_dir):
+    table = _new_table(spark, sf_dir, flush_after=(1, 3, 4))
+    table.compact()
+    table.vacuum()
+    with table.reader() as reader:
+        return _text(reader.versions())
+
+
+@query(_vt_sql(outer="kind = 1"))
+def table_recovered(spark, sf_dir):
+    """The snapshot that a second application sees, which reads manifests and replays the log."""
+    again = VersionedTable(spark, stored_table(spark, sf_dir).root)
+    with again.reader() as reader:
+        return _text(reader.snapshot())
+
+
+@query(f"{_VT} SELECT key, ts, kind, value FROM vt")
+def log_replay(spark, sf_dir):
+    return _text(_new_table(spark, sf_dir, flush_after=()).log.replay())
+
+
+@query(f"{_VT} SELECT max(ts) AS max_ts, {_BYTES} AS bytes, cast(max(ts) + 1 AS bigint) AS next_ts FROM vt")
+def log_recover(spark, sf_dir):
+    table = _new_table(spark, sf_dir, flush_after=())
+    _, top, size = table.log.recover()
+    return spark.createDataFrame([(top, size, VersionedTable(spark, table.root).next_ts)], "max_ts long, bytes long, next_ts long")
+
+
+@query(f"{_VT} SELECT cast(count(*) AS bigint) AS entries, {_BYTES} AS bytes FROM vt WHERE ts = 4")
+def table_held(spark, sf_dir):
+    """What the log holds beyond the runs."""
+    table = stored_table(spark, sf_dir)
+    with table.reader() as reader:
+        pending = reader.versions().where(F.col("src") == -(2**31)).count()
+    return spark.createDataFrame([(pending, table.held_bytes())], "entries long, bytes long")
+
+
+@query(f"{_VT} SELECT key, kind, value FROM (SELECT key, kind, value, row_number() OVER (PARTITION BY key ORDER BY kind DESC, seq) AS rn FROM muts) WHERE rn = 1 AND kind = 1")
+def stream_ingest(spark, sf_dir):
+    """A stream of mutations committed as one batch: of a key's puts the first stays, any delete in the batch wins over it."""
+    logged, path = materialize(_mutations(spark, sf_dir).drop("no").coalesce(1), "mutations")
+    table = VersionedTable(spark, scratch_path(spark, "streamed"))
+    ingest(spark.readStream.schema(logged.schema).parquet(path), table, scratch_path(spark, "ingest-state")).awaitTermination()
+    with table.reader() as reader:
+        return _text(reader.snapshot()).drop("ts")
+
+
+_BINARY = f"{_VT} SELECT key, ts, CASE WHEN coalesce(strlen(value), 0) = 0 THEN 2 ELSE 1 END AS kind, value FROM"
+
+
+def _folder_of(spark: SparkSession, rows: DataFrame, layout: str) -> str:
+    binary.register(spark)
+    path = scratch_path(spark, f"binary-{layout}")
+    rows.select("key", "ts", "kind", "value").write.format("lamina_files").option("layout", layout).mode("append").save(path)
+    return path
+
+
+@query(f"{_BINARY} vt")
+def binary_log_round_trip(spark, sf_dir):
+    with stored_table(spark, sf_dir).reader() as reader:
+        return _text(binary.read_logs(spark, _folder_of(spark, reader.versions(), "wal")))
+
+
+def _sorted_files(spark: SparkSession, sf_dir: str) -> str:
+    with stored_table(spark, sf_dir).reader() as reader:
+        dealt = reader.versions().repartitionByRange(4, "key").sortWithinPartitions(*K.version_order())
+        return _folder_of(spark, dealt, "sst")
+
+
+@query(f"{_BINARY} vt")
+def binary_table_round_trip(spark, sf_dir):
+    return _text(binary.read_tables(spark, _sorted_files(spark, sf_dir)))
+
+
+@query(f"{_BINARY} vt WHERE key >= 'u000004' AND key <= 'u000006'")
+def binary_table_range(spark, sf_dir):
+    """Files opened from their footers; the key's bounds are pushed down to files and blocks."""
+    files = spark.read.format("lamina_files").option("layout", "sst").load(_sorted_files(spark, sf_dir))
+    return _text(files.where(F.col("key").between(b"u000004", b"u000006")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

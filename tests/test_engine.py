@@ -1,5 +1,6 @@
 """Micro-fixtures of the versioned relation: merges, ranges, batches, metadata, codecs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def test_running_values_over_many_parts(spark):
         sums[g] = sums.get(g, 0) + k
         last[g] = k if v else last.get(g)
         data[k] = (g, k, sums[g], last[g])
-    got = running_sum(df, ["g"], ["k"], F.col("k"), "s").orderBy("k").collect()
+    got = running_sum(df, ["g"], ["k"], "k", "s").orderBy("k").collect()
     assert [(r["g"], r["k"], r["s"]) for r in got] == [d[:3] for d in data]
     carried = carry_last(df.withColumn("v", F.when(F.col("v") == 1, F.col("k"))), ["g"], ["k"], "v").orderBy("k").collect()
     assert [(r["g"], r["k"], r["v"]) for r in carried] == [(d[0], d[1], d[3]) for d in data]
@@ -194,3 +195,69 @@ def test_binary_files_round_trip(spark, tmp_path):
         got = read(spark, folder).orderBy("key", F.col("ts").desc()).collect()
         assert [(bytes(r["key"]), r["ts"], bytes(r["value"] or b"")) for r in got] == ENTRIES
         assert {r["file"].rpartition(".")[2] for r in got} == {layout}
+
+
+def test_appended_files_stay_and_overwritten_ones_go(spark, tmp_path):
+    binary.register(spark)
+    folder, one = str(tmp_path / "f"), lambda key: spark.createDataFrame([(key, 1, PUT, b"v")], "key binary, ts long, kind int, value binary").coalesce(1)
+    write = lambda key, mode: one(key).write.format("lamina_files").option("layout", "wal").mode(mode).save(folder)
+    write(b"a", "append")
+    write(b"b", "append")
+    assert {bytes(r["key"]) for r in binary.read_logs(spark, folder).collect()} == {b"a", b"b"}
+    read = spark.read.format("lamina_files").option("layout", "wal").load(folder)
+    assert {bytes(r["key"]) for r in read.collect()} == {b"a", b"b"} and read.where("key = 'b'").count() == 1
+    write(b"c", "overwrite")
+    assert [bytes(r["key"]) for r in binary.read_logs(spark, folder).collect()] == [b"c"]
+
+
+def test_table_files_are_read_block_by_block(spark, tmp_path):
+    path = tmp_path / "t.sst"
+    path.write_bytes(binary.encode_table(ENTRIES, 256))
+    with path.open("rb") as file:
+        table = binary.TableFile(file)
+        assert table.blocks_read == 0 and table.get(*ENTRIES[77][:2]) == ENTRIES[77][2] and table.blocks_read == 1
+        assert table.get(b"absent", 1) is None
+        blocks = {n for n, e in table.between(b"k10", b"k11")}
+        assert len(blocks) < len(table.index) / 2 and {e for e in ENTRIES if b"k10" <= e[0] <= b"k11"} <= {e for _, e in table.between(b"k10", b"k11")}
+    binary.register(spark)
+    df = spark.read.format("lamina_files").option("layout", "sst").load(str(tmp_path))
+    some = df.where((F.col("key") >= b"k10") & (F.col("key") <= b"k11"))
+    assert sorted((bytes(r["key"]), -r["ts"]) for r in some.collect()) == sorted((k, -t) for k, t, _ in ENTRIES if b"k10" <= k <= b"k11")
+    reader = binary.FilesReader(str(tmp_path), "sst")
+    from pyspark.sql.datasource import EqualTo
+
+    list(reader.pushFilters([EqualTo(("key",), b"k10")]))
+    assert 0 < len(list(reader.read(binary.OneFile("t.sst")))) < len(ENTRIES) / 2
+    reader.low = reader.high = b"zz"
+    assert list(reader.read(binary.OneFile("t.sst"))) == []
+
+
+def test_levels_never_exceed_their_budget(spark):
+    # (seq, key, ts, value): a version written again counts the difference of its values
+    puts = [(0, "a", 1, "x" * 10), (1, "b", 1, "x" * 10), (2, "a", 1, "x" * 15), (3, "c", 1, "x" * 10), (4, "a", 1, ""), (5, "huge", 1, "x" * 100), (6, "d", 1, "")]
+    df = spark.createDataFrame([(0, k, t, v, s) for s, k, t, v in puts], "src int, key string, ts long, value string, seq long")
+    got = [(r["held"], r["flush_no"]) for r in batch.fill_levels(df, 50).orderBy("seq").collect()]
+    assert got == [(19, 0), (38, 0), (43, 0), (19, 1), (28, 1), (112, 2), (9, 3)]
+
+
+def test_running_values_over_many_parts_and_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot" if k % 3 else f"g{k % 40}" if k % 2 else None, k, int(rng.integers(0, 9)), int(rng.integers(0, 99)) if rng.random() < 0.05 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k long, n int, v int")
+    sums, last, expect = {}, {}, {}
+    for g, k, n, v in rows:
+        sums[g] = sums.get(g, 0) + n
+        last[g] = last.get(g) if v is None else v
+        expect[k] = (sums[g], last[g])
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        summed = running_sum(df, ["g"], ["k"], "n", "s")
+        assert {r["k"]: r["s"] for r in summed.collect()} == {k: s for k, (s, _) in expect.items()}
+        assert {r["k"]: r["v"] for r in carry_last(df, ["g"], ["k"], "v").collect()} == {k: v for k, (_, v) in expect.items()}
+        assert "Exchange hashpartitioning" not in summed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", 4)

@@ -16,6 +16,90 @@ def view(df):
     return {bytes(r["key"]): (r["ts"], bytes(r["value"])) for r in df.collect()}
 
 
+def test_reads_before_a_compaction_fail(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    put(t, a="1", b="1")
+    put(t, a="2")
+    t.flush()
+    t.compact()
+    with t.reader() as r:
+        for gone in (lambda: r.snapshot(as_of=1), lambda: r.get_asof(b"a", 1), lambda: r.get(b"a", 1), lambda: r.scan(KeyRange(None, Key(b"z", 1)))):
+            with pytest.raises(SnapshotGone):
+                gone()
+        assert r.get(b"b", 1)["value"] == b"1" and r.get_asof(b"a")["ts"] == 2 and r.get(b"a", 9) is None and r.scan(KeyRange(Key(b"a", 0), None)).count() == 2
+
+
+def test_a_crash_between_run_and_manifest_is_harmless(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    put(t, a="1")
+    t.runs.write(t._manifest.next_run, t.log.replay(), 1)  # the run is there, its manifest never came
+    again = VersionedTable(spark, str(tmp_path / "t"))
+    run = again.flush()
+    assert run.rows == 1 and len(again.runs.store.names("")) == 2
+    assert len([n for n in again.vacuum() if n.startswith("run=")]) == 1
+    with again.reader() as r:
+        assert view(r.snapshot()) == {b"a": (1, b"1")}
+
+
+def test_pins_of_another_application_hold(spark, tmp_path):
+    t, other = VersionedTable(spark, str(tmp_path / "t")), None
+    put(t, a="1")
+    t.flush()
+    other = VersionedTable(spark, str(tmp_path / "t"))  # stands for another application
+    with other.reader() as r:
+        put(t, a="2")
+        t.flush()
+        t.compact()
+        assert not [n for n in t.vacuum() if n.startswith("run=000000000001")]
+        assert view(r.snapshot()) == {b"a": (1, b"1")}
+    assert [n for n in t.vacuum() if n.startswith("run=000000000001")]
+    t.manifests.lease_s = -1
+    with t.reader():  # a pin past its lease holds nothing
+        assert t.manifests.pinned() == set()
+
+
+def test_one_writer_wins_a_name(spark, tmp_path):
+    from lamina.sources.files import Store
+
+    store = Store(spark, str(tmp_path))
+    store.create_text("v1", "first")
+    with pytest.raises(FileExistsError):
+        store.create_text("v1", "second")
+    store.write_text("draft", "third")
+    with pytest.raises(FileExistsError):  # the claim of stores other than a local one
+        store._rename("draft", "v1")
+    store._rename("draft", "v2")
+    assert (store.read_text("v1"), store.read_text("v2")) == ("first", "third") and [n for n in store.names("") if "draft" in n] == []
+
+
+def test_a_retried_micro_batch_is_committed_once(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([(b"a", 1, b"1", 0)], "key binary, kind byte, value binary, seq long")
+    assert t.commit(rows, stream="s", epoch=0) == 1 and t.commit(rows, stream="s", epoch=0) is None
+    again = VersionedTable(spark, str(tmp_path / "t"))
+    assert again.commit(rows, stream="s", epoch=0) is None and again.commit(rows, stream="s", epoch=1) == 2 and again.commit(rows, stream="other", epoch=0) == 3
+    again.flush()
+    again.vacuum()
+    assert VersionedTable(spark, str(tmp_path / "t")).commit(rows, stream="s", epoch=1) is None
+
+
+def test_runs_are_read_in_one_scan_and_pruned(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    for k in range(3):
+        put(t, **{f"k{k}": "v"})
+        t.flush()
+    with t.reader() as r:
+        plan = r.versions()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+
+        def scanned(df):
+            return sum("part-" in f for f in df.inputFiles())
+
+        assert scanned(r.versions()) == 3 and scanned(r.snapshot(as_of=1)) == 1 and scanned(r.snapshot(upper_key=b"k1")) == 2
+        assert scanned(r.seek(Key(b"k2", 9))) == 1 and t.runs.blocks(t.zones[0]) == 1
+        assert view(r.snapshot(as_of=2)) == {b"k0": (1, b"v"), b"k1": (2, b"v")}
+
+
 def put(table, **values):
     b = Batch()
     for key, value in values.items():
