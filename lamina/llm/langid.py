@@ -37,6 +37,7 @@ from lamina.llm.text_columns import column, unwrapped, whole_row
 from lamina.scratch import materialize
 
 DIMS, CENTROIDS, SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, REJECT_FRACTION, SEED = 2048, 4, 300, 6000, 0.6, 7
+BROADCAST_ROWS = 100_000
 REJECT_QUANTILE, FOLDS, HEADS = 0.05, 4, (20, 60, 160, 400, 1000, 2500)
 #: Classes of filled places, and the square root of the middle of each.
 EDGES = np.array([0, 32, 64, 128, 256, 512, 1024, DIMS + 1])
@@ -181,7 +182,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Fit on at most ``per_language`` rows of a language and ``total`` rows of ``labelled`` (NULL labels ignored)."""
     rows = labelled.select(column(id_col).alias("id"), column(lang_col).alias("lang"), column(text_col).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("id"))
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counted, _ = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    # broadcast up to a counted size: a join that shuffles would deal all rows of a language to one task
+    counted = F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
     thinned = rows.join(counted, "lang").where((F.col("h").cast("double") + F.lit(2.0**63)) <= share * F.lit(2.0**64)).select("id", "lang", "h").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
