@@ -24,10 +24,10 @@ def sampled(labelled: DataFrame, id_col: str, text_col: str, label: Column, max_
     """
     keyed = labelled.select(F.xxhash64(column(id_col)).alias("h"), column(id_col).alias("id"), label.alias("label"), column(text_col).alias("text"))
     keyed = keyed.where("id IS NOT NULL AND label IS NOT NULL")
-    least = keyed.select("h", "id").orderBy("h", "id").limit(max_rows).agg(F.max(F.struct("h", "id")).alias("last")).first()["last"]
-    if least is None:
+    ids = [r["id"] for r in keyed.select("h", "id").orderBy("h", "id").limit(max_rows).select("id").collect()]  # at most `max_rows`
+    if not ids:
         return []
-    chosen = keyed.where((F.col("h") < least["h"]) | ((F.col("h") == least["h"]) & (F.col("id") <= least["id"])))
+    chosen = keyed.where(F.col("id").isin(sorted(set(ids))))
     stored, _ = materialize(chosen.withColumns({"text": F.coalesce("text", F.lit("")), "tie": F.xxhash64("text", "label")}), name)
     # repeated ids can make more rows than asked for: the limit is on rows
     order = ["h", "id", "tie"]
