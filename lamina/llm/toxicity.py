@@ -26,10 +26,12 @@ table. Input columns pass through, whatever their names; ``score``, ``matches``
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Container, Iterable
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -85,7 +87,15 @@ class _Fold(dict):
         return char if char in SIGNS or char.isdigit() else " "
 
 
-_FOLD = _Fold()
+class _NoMarks(dict):
+    """Code point to itself, or to nothing for a combining mark, filled as characters are met."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = kept = None if unicodedata.combining(chr(code)) else code
+        return kept
+
+
+_FOLD, _MARKS = _Fold(), _NoMarks()
 
 
 def _letters_only(word: str) -> str:
@@ -111,7 +121,7 @@ def plain(folded: str) -> str:
     """The words without accents: the same words at the same places in order."""
     if folded.isascii():
         return folded
-    return "".join(c for c in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFKD", folded).translate(_MARKS)
 
 
 @dataclass
@@ -191,70 +201,86 @@ def _beginnings(word: str) -> list[str]:
     return [word[:k] for k in range(MIN_PREFIX, min(len(word), MAX_PREFIX) + 1)]
 
 
+def _held(words: Iterable[str], kept: Container[str]) -> dict[str, tuple[str, ...]]:
+    """The beginnings of each word that are in ``kept``, for the words that have any."""
+    held = ((w, tuple(b for b in _beginnings(w) if b in kept)) for w in words)
+    return {w: found for w, found in held if found}
+
+
 def _candidates(toxic: list[Counter], clean: list[Counter]) -> dict[str, float]:
     """Weights of the beginnings that qualify; the texts are given as word counts."""
+    holders: Counter = Counter()
+    for words in toxic:
+        holders.update(words.keys())
+    at_most: Counter = Counter()  # no beginning is in more texts than its words together
+    for w, n in holders.items():
+        for b in _beginnings(w):
+            at_most[b] += n
+    held = _held(holders, {b for b, n in at_most.items() if n >= MIN_SUPPORT})
     support: Counter = Counter()
     for words in toxic:
-        support.update({b for w in words for b in _beginnings(w)})
+        support.update({b for w in words for b in held.get(w, ())})
     kept = {b: n for b, n in support.items() if n >= MIN_SUPPORT}
     longer: dict[str, int] = {}
     for b, n in kept.items():
         longer[b[:-1]] = max(longer.get(b[:-1], 0), n)
-    kept = {b for b, n in kept.items() if longer.get(b, 0) < n}
+    closed = {b for b, n in kept.items() if longer.get(b, 0) < n}
     counts = []
     for group in (toxic, clean):
         total: Counter = Counter()
         for words in group:
             total.update(words)
         found: Counter = Counter()
-        for w, n in total.items():
-            for b in _beginnings(w):
-                if b in kept:
-                    found[b] += n
+        for w, bs in _held(total, closed).items():
+            for b in bs:
+                found[b] += total[w]
         counts.append((found, sum(total.values())))
     (t, all_t), (c, all_c) = counts
-    weights = {b: math.log((t[b] + 0.5) / (all_t + 1)) - math.log((c[b] + 0.5) / (all_c + 1)) for b in kept}
+    weights = {b: math.log((t[b] + 0.5) / (all_t + 1)) - math.log((c[b] + 0.5) / (all_c + 1)) for b in closed}
     return {b: min(w, MAX_WEIGHT) for b, w in weights.items() if w >= MIN_WEIGHT}
 
 
 def choose(toxic: list[Counter], clean: list[Counter]) -> dict[str, float]:
     """The chosen entries and their weights; what each adds must outweigh the clean documents it touches."""
     weights = _candidates(toxic, clean)
+    held = _held({w for words in (*toxic, *clean) for w in words}, weights)
     where: dict[str, dict[int, set[str]]] = {}  # entry: toxic document: words it matches there
     for k, words in enumerate(toxic):
-        for w in words:
-            for b in _beginnings(w):
-                if b in weights:
-                    where.setdefault(b, {}).setdefault(k, set()).add(w)
+        for w in words.keys() & held.keys():
+            for b in held[w]:
+                where.setdefault(b, {}).setdefault(k, set()).add(w)
     against: Counter = Counter()
     for words in clean:
         size, found = sum(words.values()), Counter()
-        for w, n in words.items():
-            for b in _beginnings(w):
-                if b in weights:
-                    found[b] += n
+        for w in words.keys() & held.keys():
+            for b in held[w]:
+                found[b] += words[w]
         for b, n in found.items():
             against[b] += min(1.0, 100.0 * n / (size + 20) / FULL_DENSITY)
     worth, chosen = np.ones(len(toxic)), []
-    gains = {b: len(ks) - CLEAN_PENALTY * against[b] for b, ks in where.items()}
-    while gains:
-        # gains only fall, so an outdated best is brought up to date and looked at again
-        best = max(gains, key=lambda b: (round(gains[b], 6), weights[b], len(b), b))
-        now = sum(worth[k] for k in where[best]) - CLEAN_PENALTY * against[best]
-        if now < gains[best] - 1e-9:
-            gains[best] = now
+
+    def gain(entry: str) -> float:
+        return round(sum(worth[k] for k in where[entry]) - CLEAN_PENALTY * against[entry], 6)
+
+    # gains only fall, so the best is up to date or is put back with what it is worth now
+    heap = [(-gain(b), -weights[b], -len(b), b) for b in where]
+    heapq.heapify(heap)
+    while heap:
+        value, *rest, best = heapq.heappop(heap)
+        if best not in where:
+            continue
+        if gain(best) < -value:
+            heapq.heappush(heap, (-gain(best), *rest, best))
             continue
-        if now < MIN_GAIN:
+        if -value < MIN_GAIN:
             break
         chosen.append(best)
         worth[list(where[best])] *= 0.5
-        del gains[best]
-        for b in [b for b in gains if b.startswith(best)]:
-            del gains[b]
+        for b in [b for b in where if b.startswith(best)]:
+            del where[b]
         for b in _beginnings(best)[:-1]:  # what the entry matches is no evidence for a shorter one
-            if b in gains:
+            if b in where:
                 where[b] = {k: left for k, ws in where[b].items() if (left := {w for w in ws if not w.startswith(best)})}
-                gains[b] = min(gains[b], sum(worth[k] for k in where[b]) - CLEAN_PENALTY * against[b])
     return {b: weights[b] for b in chosen}
 
 
