@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina import jobs
 from lamina.functions import bloom
 from lamina.functions import keys as K
 from lamina.operators import batch, merge, runs_meta
 from lamina.plans.table import VersionedTable
-from lamina.schema import DELETE, is_tombstone
+from lamina.schema import DELETE, PUT, SCHEMA, is_tombstone
 from lamina.scratch import materialize, scratch_path
 from lamina.sources import binary
 from lamina.streaming.ingest import ingest
@@ -603,6 +604,103 @@ def binary_table_range(spark, sf_dir):
     return _text(files.where(F.col("key").between(b"u000004", b"u000006")))
 
 
+@query(f"{_VT}, {_ASKED_SQL} SELECT a.key, cast(a.asked_ts AS bigint) AS ts, v.value FROM asked a JOIN vt v ON v.key = a.key AND v.ts = a.asked_ts WHERE v.kind = 1")
+def binary_table_get(spark, sf_dir):
+    """Exact versions out of table files, by filter, index and block."""
+    found = binary.get_versions(spark, _sorted_files(spark, sf_dir), [(k.encode(), ts) for k, ts in _ASKED])
+    return found.where(F.octet_length("value") > 0).select(F.col("key").cast("string").alias("key"), "ts", F.col("value").cast("string").alias("value"))
+
+
+# A driver-side batch of all nations: one key a region, every fifth nation a delete.
+
+_NATIONS = """nations AS (SELECT 'r' || cast(n_regionkey AS varchar) AS key, cast(CASE WHEN n_nationkey % 5 = 4 THEN 2 ELSE 1 END AS int) AS kind,
+  CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_name END AS value, n_nationkey AS no, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nth FROM nation),
+  held AS (SELECT * FROM nations WHERE kind = 2 OR nth = 1)"""
+
+
+def _nation_batch(spark: SparkSession, sf_dir: str) -> batch.Batch:
+    built = batch.Batch()
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect():  # 25 rows at any scale
+        key = f"r{r['n_regionkey']}".encode()
+        if r["n_nationkey"] % 5 == 4:
+            built.delete(key)
+        else:
+            built.put(key, r["n_name"].encode())
+    return built
+
+
+@query(f"WITH {_NATIONS} SELECT key, cast(7 AS bigint) AS ts, kind, value, cast(row_number() OVER (ORDER BY no) - 1 AS bigint) AS seq FROM held")
+def batch_builder(spark, sf_dir):
+    return _text(_nation_batch(spark, sf_dir).frame(spark, 7), "seq")
+
+
+@query(
+    f"""WITH {_NATIONS} SELECT x.key, h.key IS NOT NULL AS found, h.value, (SELECT count(*) FROM held) AS entries,
+    cast((SELECT sum(strlen(key) + 8 + coalesce(strlen(value), 0)) FROM held) AS bigint) AS bytes
+    FROM (SELECT 'r' || cast(r_regionkey AS varchar) AS key FROM region UNION ALL SELECT 'none') x LEFT JOIN (SELECT * FROM held WHERE nth = 1) h ON h.key = x.key"""
+)
+def batch_lookup(spark, sf_dir):
+    built = _nation_batch(spark, sf_dir)
+    keys = [f"r{r[0]}" for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").collect()]  # 5 rows at any scale
+    rows = []
+    for key in [*keys, "none"]:
+        value, found = built.get(key.encode())
+        rows.append((key, found and key.encode() in built, None if value is None else value.decode(), len(built), built.size_in_bytes()))
+    return spark.createDataFrame(rows, "key string, found boolean, value string, entries long, bytes long")
+
+
+@query("SELECT * FROM (VALUES ('apple', cast(300 AS bigint), 'apple-300'), ('banana', 250, 'banana-250'), ('cherry', 300, 'cherry-300')) x(key, ts, value)")
+def golden_snapshot(spark, sf_dir):
+    """Two sources in memory, merged as of a version and up to a key."""
+    rows = [[("apple", 400), ("banana", 250)], [("apple", 300), ("cherry", 300)]]
+    sources = [spark.createDataFrame([(k.encode(), ts, PUT, f"{k}-{ts}".encode(), 0, n) for n, (k, ts) in enumerate(part)], SCHEMA) for part in rows]
+    return _text(merge.live(merge.snapshot(merge.union_runs(*sources), 325, b"cherry"))).drop("kind")
+
+
+@query(
+    """SELECT step, is_valid, cast(pins AS int) AS pins, cast(runs AS int) AS runs, cast(segments AS int) AS segments FROM (VALUES ('opened', TRUE, 1, 2, 3), ('compacted', TRUE, 1, 2, 3),
+    ('closed', FALSE, 0, 1, 3), ('closed twice', FALSE, 0, 1, 3), ('vacuumed', FALSE, 0, 1, 1)) x(step, is_valid, pins, runs, segments)"""
+)
+def table_life(spark, sf_dir):
+    """Validity and pins of a reader, the runs that it or the table sees, and the log's segments, along a table's life.
+
+    A flush ends a segment, so the first two commits have one each and the last two share one.
+    """
+    table = _new_table(spark, sf_dir, flush_after=(1, 2))
+    reader, version, steps = table.reader(), table.version, []
+    with reader as opened:
+
+        def note(step: str) -> None:
+            folders = opened.zones if opened.is_valid else table.zones
+            steps.append((step, opened.is_valid, table.references(version), len(folders), len(table.log.segments())))
+
+        note("opened")
+        table.compact()
+        note("compacted")
+        opened.close()
+        note("closed")
+        opened.close()
+        note("closed twice")
+        table.vacuum()
+        note("vacuumed")
+    return spark.createDataFrame(steps, "step string, is_valid boolean, pins int, runs int, segments int")
+
+
+@query("SELECT 'count' AS job, TRUE AS is_done, TRUE AS is_ok, FALSE AS is_error, count(*) AS result FROM lineitem UNION ALL SELECT 'fails', TRUE, FALSE, TRUE, NULL")
+def job_status(spark, sf_dir):
+    """Jobs beside the caller: one that counts, one that fails."""
+    known = {
+        "count": jobs.submit(lambda: spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()),
+        "fails": jobs.submit(lambda: spark.read.parquet(f"{sf_dir}/no-such-table.parquet").count()),
+    }
+    rows = []
+    for name, job in known.items():
+        job.wait()
+        job.mark_ok(-1)  # done once: this changes nothing
+        rows.append((name, job.is_done, job.status.is_ok, job.status.is_error, job.result))
+    return spark.createDataFrame(rows, "job string, is_done boolean, is_ok boolean, is_error boolean, result long")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
