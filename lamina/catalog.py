@@ -688,10 +688,10 @@ def table_life(spark, sf_dir):
 
 @query("SELECT 'count' AS job, TRUE AS is_done, TRUE AS is_ok, FALSE AS is_error, count(*) AS result FROM lineitem UNION ALL SELECT 'fails', TRUE, FALSE, TRUE, NULL")
 def job_status(spark, sf_dir):
-    """Jobs beside the caller: one that counts, one that fails."""
+    """Jobs beside the caller: one that counts, one that fails (no version is negative)."""
     known = {
         "count": jobs.submit(lambda: spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()),
-        "fails": jobs.submit(lambda: spark.read.parquet(f"{sf_dir}/no-such-table.parquet").count()),
+        "fails": jobs.submit(lambda: batch.stamp(lineitem_kv(spark, sf_dir), -1).count()),
     }
     rows = []
     for name, job in known.items():
