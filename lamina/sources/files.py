@@ -24,6 +24,11 @@ class Store:
     def url(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    @property
+    def is_mounted(self) -> bool:
+        """Whether the root is a folder of the machines themselves, which plain file operations reach."""
+        return self._fs.getScheme() == "file"
+
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._path(name))
 
@@ -60,7 +65,7 @@ class Store:
         draft = f".{name}.{uuid.uuid4().hex}.draft"
         self.write_text(draft, text)
         try:
-            if self._fs.getScheme() == "file":
+            if self.is_mounted:
                 os.link(self._path(draft).toUri().getPath(), self._path(name).toUri().getPath())
             else:
                 self._rename(draft, name)

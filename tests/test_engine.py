@@ -197,6 +197,41 @@ def test_binary_files_round_trip(spark, tmp_path):
         assert {r["file"].rpartition(".")[2] for r in got} == {layout}
 
 
+@pytest.mark.parametrize("layout", ["wal", "sst"])
+def test_binary_partitions_without_rows_write_no_file(spark, tmp_path, layout):
+    binary.register(spark)
+    folder, read = str(tmp_path / "f"), {"wal": binary.read_logs, "sst": binary.read_tables}[layout]
+    schema = "key binary, ts long, kind int, value binary"
+    write = lambda df, mode: df.write.format("lamina_files").option("layout", layout).mode(mode).save(folder)
+    write(spark.createDataFrame([], schema), "append")
+    assert read(spark, folder).count() == 0
+    one = spark.range(0, 4, 1, 4).where("id = 2").select(F.lit("a").cast("binary").alias("key"), F.lit(1).cast("long").alias("ts"), F.lit(PUT).alias("kind"), F.lit("v").cast("binary").alias("value"))
+    write(one, "append")
+    assert [(bytes(r["key"]), r["ts"], r["seq"]) for r in read(spark, folder).collect()] == [(b"a", 1, 0)]
+    assert len([n for n in (tmp_path / "f").iterdir() if n.suffix == f".{layout}"]) == 1
+    write(one.where("ts > 1"), "overwrite")
+    assert read(spark, folder).count() == 0
+
+
+def test_binary_files_of_a_mounted_folder_are_not_held_whole(spark, tmp_path):
+    inside = tmp_path / "a b%20c"
+    inside.mkdir()
+    (inside / "t.wal").write_bytes(b"".join(binary.encode_record(*e) for e in ENTRIES))
+    (inside / "t.sst").write_bytes(binary.encode_table(ENTRIES, 256))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lamina-binary.link./in", tmp_path.as_uri())
+    paths = {str(inside): False, f"viewfs://lamina-binary/in/{inside.name}": True}
+    for name, read in (("t.wal", binary.read_logs), ("t.sst", binary.read_tables)):
+        for path, held in paths.items():
+            df = read(spark, path)
+            assert ("content" in df._jdf.queryExecution().executedPlan().toString()) is held
+            got = df.orderBy("seq").collect()
+            assert [(bytes(r["key"]), r["ts"], bytes(r["value"] or b"")) for r in got] == ENTRIES and got[0]["file"].endswith(f"/{name}")
+    (inside / "t.wal").write_bytes((inside / "t.wal").read_bytes()[:-1])
+    for path in paths:
+        with pytest.raises(Exception, match="torn record"):
+            binary.read_logs(spark, path).collect()
+
+
 def test_appended_files_stay_and_overwritten_ones_go(spark, tmp_path):
     binary.register(spark)
     folder, one = str(tmp_path / "f"), lambda key: spark.createDataFrame([(key, 1, PUT, b"v")], "key binary, ts long, kind int, value binary").coalesce(1)
